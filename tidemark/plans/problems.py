@@ -12,6 +12,7 @@ from tidemark.operators.orphans import orphans
 from tidemark.operators.trailing import trailing_spans, trailing_totals
 from tidemark.operators.units import common_bars, unit_cases
 from tidemark.operators.spikes import spike_rows
+from tidemark.plans.problems_sql import SQL  # noqa: F401
 from tidemark.sources.tables import bars, open_days, series_bars, table
 
 SERIES = ["src", "code"]
