@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function of session and folder) and SQL (name -> text).
-MODULES = ("problems",)
+MODULES = ("problems", "scalars", "indicators")
 
 
 def _parts() -> list:
