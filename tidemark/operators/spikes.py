@@ -122,10 +122,14 @@ def judge_days(series: np.ndarray, ref: np.ndarray, hi: np.ndarray, lo: np.ndarr
     m = np.nan_to_num((np.column_stack([around[see], own[see]]) - base) / med[see, None])
     low, sparse = robust_pca(m)
     mine = slice(2 * REACH, None)
-    suspects = see[(np.abs(sparse[:, mine]).max(axis=1) > SUSPECT) | (np.abs(low[:, mine]).max(axis=1) > SUSPECT)]
+    odd = see[(np.abs(sparse[:, mine]).max(axis=1) > SUSPECT) | (np.abs(low[:, mine]).max(axis=1) > SUSPECT)]
+    # A usual day between odd ones lies off from both: so days near an odd one are tested as well.
+    near = np.zeros(n, bool)
+    for k in range(-LONGEST_RUN - 1, LONGEST_RUN + 2):
+        near[np.clip(odd + k, 0, n - 1)] = True
 
     # The exact test, on the suspects only.
-    j = suspects
+    j = np.flatnonzero(near & ok)
     for length in range(1, LONGEST_RUN + 1):
         for back in range(length):
             s, e = j - back, j - back + length - 1
