@@ -27,7 +27,7 @@ TRAILERS = (
 # Marks that stand for what is left out, at the end of a line.
 MARKS = (r"\[(?:…|\.\.\.|more)\]", r"\((?:cont\.|continued|more)\)", r"…", r"\.\.\.")
 BLANK = r"[\s\p{Z}​﻿]"
-_BEHIND = rf"(?:{BLANK}*[\r\n]{BLANK}*(?:{'|'.join(TRAILERS)})|{BLANK}*(?:{'|'.join(MARKS)}))*{BLANK}*$"
+_BEHIND = rf"(?:(?:^|{BLANK}*[\r\n]){BLANK}*(?:{'|'.join(TRAILERS)})|{BLANK}*(?:{'|'.join(MARKS)}))*{BLANK}*$"
 #: An ending is established if at least this share of texts, and two, end so ...
 ESTABLISHED = 3e-4
 #: ... and its trigram is rarely found inside of texts, or its five last words are not mostly found there.
