@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import cut
+
 # Lines that sources put behind a text, whether it is whole or cut.
 TRAILERS = (
     r"\* \* \*",
@@ -83,7 +85,8 @@ def endings(docs: DataFrame, key: str, text: str, extra: list[str]) -> DataFrame
 
 
 def gram_counts(ends: DataFrame) -> DataFrame:
-    """gram, n (3 or LONG), c (all occurrences in bodies), e (those at the end), for grams that end a text.
+    """n (3 or LONG), before (all words of a gram but the last), word (the last), c (all occurrences in bodies), e
+    (those at the end).
 
     Equal sentences are counted together before their words are looked at, so that the work on words is on distinct
     sentences only.
@@ -92,23 +95,33 @@ def gram_counts(ends: DataFrame) -> DataFrame:
     w = s.select("c", "e", F.split(F.concat(F.lit("<s> "), "s"), " ").alias("w"))
     at = w.select("c", "e", "w", F.explode(F.sequence(F.lit(2), F.size("w"))).alias("j"))
     g = at.select("c", F.when(F.col("j") == F.size("w"), F.col("e")).otherwise(0).alias("e"), F.explode(F.array(F.struct(F.lit(3).alias("n"), _gram(F.col("w"), F.col("j"), 3).alias("gram")), F.struct(F.lit(LONG).alias("n"), _gram(F.col("w"), F.col("j"), LONG).alias("gram")))).alias("x"))
-    return g.groupBy("x.n", "x.gram").agg(F.sum("c").alias("c"), F.sum("e").alias("e")).where("e > 0")
+    a = g.groupBy("x.n", "x.gram").agg(F.sum("c").alias("c"), F.sum("e").alias("e"))
+    word = F.substring_index("gram", " ", -1)
+    return a.select("n", F.left("gram", F.length("gram") - F.length(word)).alias("before"), word.alias("word"), "c", "e")
 
 
 def truncated(ends: DataFrame, key: str, extra: list[str]) -> DataFrame:
     """(key, extra, cut) for every text of `ends` (a written table, for it is read twice).
 
     Word trigrams are counted inside of bodies and at their ends. A text is suspect if its last trigram is frequent
-    inside but almost never terminal, or too rare to be known as an ending, as in mid-word. A suspect whose last
+    inside but almost never terminal, or too rare to be known as an ending, or ends in part of a word. A suspect whose last
     five words (no farther back than its sentence) are an established ending is whole. A full stop isn't asked for.
     """
     ends = ends.where("size(sents) > 0")
     n = ends.count()
     least = max(2.0, ESTABLISHED * n)
     grams = gram_counts(ends)
+    share = F.when(F.col("n") == 3, TERMINAL).otherwise(TERMINAL_LONG)
+    # At most 1 / ESTABLISHED endings of each length pass this, however large the corpus, so it can be broadcast.
+    ending = F.broadcast(grams.where((F.col("e") >= least) & (F.col("e") >= share * F.col("c"))))
+    # A part of a word that goes on more often than it ends, after the same words, is a cut in mid-word.
+    longer = grams.select(F.col("n").alias("l_n"), F.col("before").alias("l_before"), F.col("word").alias("l_word"), F.col("c").alias("l_c"))
+    on = (F.col("n") == F.col("l_n")) & (F.col("before") == F.col("l_before")) & (F.length("l_word") > F.length("word")) & F.startswith("l_word", "word")
+    part = longer.join(ending, on).groupBy("n", "before", "word").agg(F.sum("l_c").alias("on"), F.first("e").alias("e")).where("on >= e")
+    whole = ending.join(F.broadcast(part.select("n", "before", "word")), ["n", "before", "word"], "left_anti")
+    known = cut(whole.select("n", F.concat("before", "word").alias("gram")), "endings-known")
     w = F.split(F.concat(F.lit("<s> "), F.element_at("sents", -1)), " ")
     last = ends.select(key, *extra, _gram(w, F.size(w), 3).alias("g3"), _gram(w, F.size(w), LONG).alias("g5"))
-    known = lambda size, share, name: grams.where((F.col("n") == size) & (F.col("e") >= least) & (F.col("e") >= share * F.col("c"))).select(F.col("gram").alias(name))
-    # At most 1 / ESTABLISHED endings of each length are established, however large the corpus.
-    out = last.join(F.broadcast(known(3, TERMINAL, "k3")), F.col("g3") == F.col("k3"), "left").join(F.broadcast(known(LONG, TERMINAL_LONG, "k5")), F.col("g5") == F.col("k5"), "left")
+    of = lambda n, name: F.broadcast(known.where(F.col("n") == n).select(F.col("gram").alias(name)))
+    out = last.join(of(3, "k3"), F.col("g3") == F.col("k3"), "left").join(of(LONG, "k5"), F.col("g5") == F.col("k5"), "left")
     return out.select(key, *extra, (F.col("k3").isNull() & F.col("k5").isNull()).alias("cut"))
