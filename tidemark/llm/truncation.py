@@ -27,7 +27,7 @@ TRAILERS = (
     r"\p{Lu}[\p{L}'-]+(?: – \p{Lu}[\p{L}'-]+)+",
 )
 # Marks that stand for what is left out, at the end of a line.
-MARKS = (r"\[(?:…|\.\.\.|more)\]", r"\((?:cont\.|continued|more)\)", r"…", r"\.\.\.")
+MARKS = (r">>", r"\[(?:…|\.\.\.|more)\]", r"\((?:cont\.|continued|more)\)", r"…", r"\.\.\.")
 BLANK = r"[\s\p{Z}​﻿]"
 _BEHIND = rf"(?:(?:^|{BLANK}*[\r\n]){BLANK}*(?:{'|'.join(TRAILERS)})|{BLANK}*(?:{'|'.join(MARKS)}))*{BLANK}*$"
 #: An ending is established if at least this share of texts, and two, end so ...
@@ -51,6 +51,7 @@ def _steps() -> tuple[tuple[str, str], ...]:
     return (
         (r"[0-9]+(?:[.,/\-\u00A0\u202F ][0-9]+)*", "0"),
         (r"[\u2190-\u2BFF\uFE0F\x{1F000}-\x{1FAFF}]+", ""),
+        (r" [_=~*#]{4,} ?", "\n"),
         (r"([.。][”\"]?)[ \t]+", "$1\n"),
         (r"。", "。\n"),
         (rf" (?<=[^.。”\"\s] ){name}(?: {name})*", " N"),
