@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def corr(x: str, y: str) -> Column:
+    """Pearson correlation of pairs without nulls; null without variation (the built-in one divides by zero then)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def average_rank(value: str, by: list[str]) -> Column:
     """Rank from 1 with ties averaged."""
     w = W.partitionBy(*by).orderBy(value)
@@ -20,7 +25,7 @@ def daily_ic(panel: DataFrame, x: str, y: str, by: list[str], least: int = 30, s
     if spearman:
         p = p.withColumns({x: average_rank(x, by), y: average_rank(y, by)})
     enough = (F.count("*") >= least) & (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12)
-    return p.groupBy(*by).agg(F.when(enough, F.corr(x, y)).alias("ic"), F.count("*").alias("n"))
+    return p.groupBy(*by).agg(F.when(enough, corr(x, y)).alias("ic"), F.count("*").alias("n"))
 
 
 def ic_stats(ic: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006

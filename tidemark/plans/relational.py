@@ -9,6 +9,7 @@ from tidemark.operators import crosssec as X
 from tidemark.operators import quality as Q
 from tidemark.operators import similarity as M
 from tidemark.operators import windows as I
+from tidemark.operators.crosssec import corr
 from tidemark.plans.declare import declare
 from tidemark.sources.tables import table
 from tidemark.sources.views import BOUNDED_SQL, FACTORS_SQL, INDEX_SQL, INSTRUMENTS_SQL, LEDGER_SQL, RAW_SQL, bars_bounded, bars_raw, factors, index_close, instruments, ledger
@@ -237,7 +238,7 @@ def agg_13_14_16_ic_stats(spark, d):
 def agg_17_pooled_eval(spark, d):
     e = returns(spark, d).where("x is not null and y is not null").select("code", (F.col("x") / 20).alias("p"), "y")
     hit = F.when(F.abs("p") > 0.001, (F.signum("p") == F.signum("y")).cast("double"))
-    return e.groupBy("code").agg(F.count("*").alias("n"), F.round(F.corr("p", "y"), 5).alias("ic"), F.round(F.avg(F.abs(F.col("p") - F.col("y"))), 6).alias("mae"), F.round(F.avg(hit), 5).alias("hit")).where("n >= 25")
+    return e.groupBy("code").agg(F.count("*").alias("n"), F.round(corr("p", "y"), 5).alias("ic"), F.round(F.avg(F.abs(F.col("p") - F.col("y"))), 6).alias("mae"), F.round(F.avg(hit), 5).alias("hit")).where("n >= 25")
 
 
 _Q = "q AS (SELECT code, y, quantile_cont(y, 0.1) OVER (PARTITION BY code) AS q10, quantile_cont(y, 0.5) OVER (PARTITION BY code) AS q50, quantile_cont(y, 0.9) OVER (PARTITION BY code) AS q90 FROM r WHERE y IS NOT NULL)"
@@ -254,7 +255,7 @@ def agg_18_pinball(spark, d):
 
 @query(f"{BOUND}, {RET}, h AS (SELECT code, count(*) AS n, avg((sign(x) = sign(y))::INTEGER) AS hit, corr(x, y) AS ic FROM r WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY code) SELECT code, n, round((hit - 0.5) / sqrt(0.25 / n), 4) AS z, round(ic * sqrt(n), 4) AS t FROM h")
 def agg_19_hit_stats(spark, d):
-    h = returns(spark, d).where("x is not null and y is not null").groupBy("code").agg(F.count("*").alias("n"), F.avg((F.signum("x") == F.signum("y")).cast("double")).alias("hit"), F.corr("x", "y").alias("ic"))
+    h = returns(spark, d).where("x is not null and y is not null").groupBy("code").agg(F.count("*").alias("n"), F.avg((F.signum("x") == F.signum("y")).cast("double")).alias("hit"), corr("x", "y").alias("ic"))
     return h.select("code", "n", F.round((F.col("hit") - 0.5) / F.sqrt(0.25 / F.col("n")), 4).alias("z"), F.round(F.col("ic") * F.sqrt("n"), 4).alias("t"))
 
 

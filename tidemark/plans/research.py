@@ -10,6 +10,7 @@ from tidemark.operators import crosssec as X
 from tidemark.operators import ml as L
 from tidemark.operators import signals as S
 from tidemark.operators import windows as I
+from tidemark.operators.crosssec import corr
 from tidemark.operators.recursive import with_recursive
 from tidemark.plans.declare import declare
 from tidemark.plans.indicators import tier_features
@@ -227,7 +228,7 @@ def ml_2_4_all_subsets(spark, d):
 @query(f"{BOUND}, {_PANEL}, i AS (SELECT date, count(*) AS n, " + ", ".join(f"corr({x}, y) AS {x}" for x in XS) + f" FROM p WHERE {_NN} GROUP BY date HAVING count(*) >= 10) SELECT " + ", ".join(f"CASE WHEN avg({x}) < 0 THEN -1 ELSE 1 END AS {x}" for x in XS) + ", count(*) AS days FROM i")
 def ml_5_sign_flip(spark, d):
     p = _panel(spark, d).where(" and ".join(f"{x} is not null" for x in [*XS, "y"]))
-    i = p.groupBy("date").agg(F.count("*").alias("n"), *[F.corr(x, "y").alias(x) for x in XS]).where("n >= 10")
+    i = p.groupBy("date").agg(F.count("*").alias("n"), *[corr(x, "y").alias(x) for x in XS]).where("n >= 10")
     return i.agg(*[F.when(F.avg(x) < 0, -1).otherwise(1).alias(x) for x in XS], F.count("*").alias("days"))
 
 
@@ -270,7 +271,7 @@ def ml_9_bh_fdr(spark, d):
 @query(f"{BOUND}, {_PANEL}, c AS (SELECT code, corr(f_ret5, y) AS ic, quantile_cont(f_ret5, 0.8) AS cutoff, count(*) AS n FROM p WHERE {_NN} GROUP BY code) SELECT p.code, any_value(n) AS n, round(any_value(ic), 5) AS ic, round(avg(y) FILTER (WHERE f_ret5 >= cutoff), 6) AS event, round(avg((y > 0)::INTEGER) FILTER (WHERE f_ret5 >= cutoff), 6) AS hit FROM p JOIN c USING (code) WHERE {_NN} GROUP BY p.code")
 def ml_12_per_code_check(spark, d):
     p = _panel(spark, d).where(" and ".join(f"{x} is not null" for x in [*XS, "y"]))
-    c = p.groupBy("code").agg(F.corr("f_ret5", "y").alias("ic"), F.percentile("f_ret5", 0.8).alias("cutoff"), F.count("*").alias("n"))
+    c = p.groupBy("code").agg(corr("f_ret5", "y").alias("ic"), F.percentile("f_ret5", 0.8).alias("cutoff"), F.count("*").alias("n"))
     e = F.when(F.col("f_ret5") >= F.col("cutoff"), F.col("y"))
     return p.join(c, "code").groupBy("code").agg(F.first("n").alias("n"), F.round(F.first("ic"), 5).alias("ic"), F.round(F.avg(e), 6).alias("event"), F.round(F.avg((e > 0).cast("double")), 6).alias("hit"))
 
@@ -285,7 +286,7 @@ def ml_13_chip_grid(spark, d):
     out = None
     for bins in (60, 120):
         for decay in (0.01, 0.03):
-            c = chip_summary(b, bins=bins, decay=decay).join(last, "code").agg(F.lit(bins).alias("bins"), F.lit(decay).alias("decay"), F.round(F.corr("profit", "x"), 6).alias("ic"), F.count("*").alias("n"))
+            c = chip_summary(b, bins=bins, decay=decay).join(last, "code").agg(F.lit(bins).alias("bins"), F.lit(decay).alias("decay"), F.round(corr("profit", "x"), 6).alias("ic"), F.count("*").alias("n"))
             out = c if out is None else out.union(c)
     return out
 
@@ -306,7 +307,7 @@ def ml_1_walk_forward(spark, d):
 @query()
 def ml_1_boosted(spark, d):
     b = L.boosted(_panel(spark, d), XS[:4], "y", "2000-01-01", trees=5)
-    return b.groupBy("code").agg(F.count("*").alias("n"), F.round(F.corr("pred", "y"), 6).alias("ic"))
+    return b.groupBy("code").agg(F.count("*").alias("n"), F.round(corr("pred", "y"), 6).alias("ic"))
 
 
 @query()
