@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.text import let
+
 
 def znorm(v: Column) -> Column:
     """(x - mean) / population deviation of an array; a deviation of zero counts as 1e-12."""
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    sd = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    return F.transform(v, lambda x: (x - mean) / F.greatest(sd, F.lit(1e-12)))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    spread = lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v))
+    # Mean and deviation are bound once per row; written inside the lambda they would be made again for each element.
+    return let(total(v) / F.size(v), lambda m: let(F.greatest(spread(m), F.lit(1e-12)), lambda s: F.transform(v, lambda x: (x - m) / s)))
 
 
 def distance(a: Column, b: Column) -> Column:

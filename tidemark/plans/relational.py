@@ -71,13 +71,13 @@ def jn_7_as_of_index(spark, d):
     return j.select("date", I.last_known(F.col("close"), W.orderBy("date")).alias("mark"))  # one row a day
 
 
-@query(f"{BARS}, cal AS (SELECT DISTINCT date FROM bars WHERE date >= DATE '2001-01-01'), cc AS (SELECT code, date FROM (SELECT DISTINCT code FROM bars WHERE code % 10 = 1), cal) SELECT cc.code, cc.date, b.close AS mark FROM cc ASOF LEFT JOIN bars b ON b.code = cc.code AND b.date <= cc.date")
+@query(f"{BARS}, cal AS (SELECT DISTINCT date FROM bars), cc AS (SELECT code, date FROM (SELECT DISTINCT code FROM bars), cal) SELECT cc.code, cc.date, b.close AS mark FROM cc ASOF LEFT JOIN bars b ON b.code = cc.code AND b.date <= cc.date")
 def jn_8_16_dense_marks(spark, d):
     """Every code on every day of the calendar with its last known close: gaps are exploded between a bar and the
     next, so no cross join of codes and days is made."""
-    b = bars_raw(spark, d).where("code % 10 = 1")
+    b = bars_raw(spark, d)
     cal = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct().withColumn("t", F.row_number().over(W.orderBy("date")).cast("int"))  # one row a day
-    begin, last = cal.where("date >= date'2001-01-01'").agg(F.min("t"), F.max("t")).first()
+    begin, last = cal.agg(F.min("t"), F.max("t")).first()
     w = I.seq("code", "t")
     at = b.join(F.broadcast(cal), "date").select("code", "t", "close", F.coalesce(F.lead("t").over(w) - 1, F.lit(last)).alias("upto"), F.row_number().over(w).alias("i"))
     on = at.where(F.col("upto") >= begin).select("code", F.col("close").alias("mark"), F.explode(F.sequence(F.greatest("t", F.lit(begin)), F.col("upto"))).alias("t"))
@@ -92,7 +92,7 @@ def jn_11_anti_join(spark, d):
     return b.join(b.where("date > date'2001-11-05'"), "code", "left_anti").select("code").distinct()
 
 
-_NEW = "n AS (SELECT code, date, CASE WHEN code % 3 = 0 THEN close * 2 WHEN code % 3 = 1 THEN close * 1.001 ELSE close END AS c1 FROM bars WHERE date >= DATE '1999-01-01' OR code % 6 = 0), o AS (SELECT code, date, close AS c0 FROM bars WHERE date < DATE '2001-01-01')"
+_NEW = "n AS (SELECT code, date, CASE WHEN code % 3 = 0 THEN close * 2 WHEN code % 3 = 1 THEN close * 1.001 ELSE close END AS c1 FROM bars WHERE date >= DATE '1999-01-01' OR code IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)), o AS (SELECT code, date, close AS c0 FROM bars WHERE date < DATE '2001-01-01')"
 
 
 @query(f"""{BARS}, {_NEW}, f AS (SELECT coalesce(o.code, n.code) AS code, coalesce(o.date, n.date) AS date, c0, c1 FROM o FULL JOIN n ON o.code = n.code AND o.date = n.date),
@@ -103,28 +103,29 @@ SELECT code, how, count(v) AS n, round(sum(v), 2) AS total FROM (SELECT f.code,
 def jn_12_str_4_upsert_rebase(spark, d):
     b = bars_raw(spark, d)
     c = F.when(F.col("code") % 3 == 0, F.col("close") * 2).when(F.col("code") % 3 == 1, F.col("close") * 1.001).otherwise(F.col("close"))
-    new = b.where("date >= date'1999-01-01' or code % 6 = 0").select("code", "date", c.alias("close"))
+    deep = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("code"), F.lit(True).alias("deep"))
+    new = b.join(deep, "code", "left").where("date >= date'1999-01-01' or deep").select("code", "date", c.alias("close"))
     u = Q.upsert(b.where("date < date'2001-01-01'"), new)
     return u.groupBy("code", "how").agg(F.count("*").alias("n"), F.round(F.sum("close"), 2).alias("total"))
 
 
-@query(f"{BARS} SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT date FROM bars WHERE code < 5 UNION SELECT date FROM bars WHERE code > 90)")
+@query(f"{BARS} SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT date FROM bars WHERE close > open UNION SELECT date FROM bars WHERE close < open)")
 def jn_13_union_calendar(spark, d):
-    b = bars_raw(spark, d).select("code", "date")
-    u = b.where("code < 5").select("date").union(b.where("code > 90").select("date")).distinct()
+    b = bars_raw(spark, d)
+    u = b.where("close > open").select("date").union(b.where("close < open").select("date")).distinct()
     return u.select("date", F.row_number().over(W.orderBy("date")).cast("long").alias("t"))  # one row a day
 
 
-@query(f"{BARS} SELECT date FROM (SELECT date FROM bars WHERE code = 1 EXCEPT SELECT date FROM bars WHERE code = 2)")
+@query(f"{BARS} SELECT code, date FROM bars WHERE close > open EXCEPT SELECT code, date FROM bars WHERE vol > 40")
 def jn_14_except(spark, d):
     b = bars_raw(spark, d)
-    return b.where("code = 1").select("date").distinct().join(b.where("code = 2").select("date"), "date", "left_anti")
+    return b.where("close > open").select("code", "date").exceptAll(b.where("vol > 40").select("code", "date"))  # keys are unique
 
 
-@query(f"{BARS} SELECT date FROM bars WHERE code = 1 INTERSECT SELECT date FROM bars WHERE code = 2")
+@query(f"{BARS} SELECT code, date FROM bars WHERE close > open INTERSECT SELECT code, date FROM bars WHERE vol > 40")
 def jn_15_intersect(spark, d):
     b = bars_raw(spark, d)
-    return b.where("code = 1").select("date").intersect(b.where("code = 2").select("date"))
+    return b.where("close > open").select("code", "date").intersect(b.where("vol > 40").select("code", "date"))
 
 
 @query(f"WITH {INSTRUMENTS_SQL} SELECT code, peer, rn FROM (SELECT a.code, b.code AS peer, row_number() OVER (PARTITION BY a.code ORDER BY abs(ln(greatest(a.mktcap, 10)) - ln(greatest(b.mktcap, 10))), b.code) AS rn FROM inst a JOIN inst b ON a.industry = b.industry AND a.code <> b.code) WHERE rn <= 3")
@@ -384,14 +385,14 @@ def top_6_7_8_limit(spark, d):
 
 # ---- similarity ------------------------------------------------------------------------------------------------
 
-_RL = "r AS (SELECT code, date, row_number() OVER w - 1 AS i, ln(close / lag(close) OVER w) AS r FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)), v AS (SELECT code, i, list(r) OVER (PARTITION BY code ORDER BY i ROWS 9 PRECEDING) AS v FROM r WHERE i >= 1 AND code % 20 = 1), z AS (SELECT code, i, list_transform(v, LAMBDA q: (q - list_avg(v)) / greatest(list_stddev_pop(v), 1e-12)) AS z FROM v WHERE i >= 10)"
+_RL = "r AS (SELECT code, date, row_number() OVER w - 1 AS i, ln(close / lag(close) OVER w) AS r FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)), v AS (SELECT code, i, list(r) OVER (PARTITION BY code ORDER BY i ROWS 9 PRECEDING) AS v FROM r WHERE i >= 1), z AS (SELECT code, i, list_transform(v, LAMBDA q: (q - list_avg(v)) / greatest(list_stddev_pop(v), 1e-12)) AS z FROM v WHERE i >= 10)"
 
 
 @query(f"{BOUND}, {_RL}, l AS (SELECT code, max(i) AS m FROM z GROUP BY code) SELECT a.code, b.i, round(sqrt(list_sum(list_transform(range(1, 11), LAMBDA q: pow(a.z[q] - b.z[q], 2)))), 4) AS dist FROM z a JOIN l ON l.code = a.code AND l.m = a.i JOIN z b ON b.code = a.code AND b.i <= a.i - 10")
 def sim_1_jn_9_window_distance(spark, d):
     """Distance of a code's last window of ten log returns to each earlier window that doesn't overlap it."""
     w = I.seq()
-    r = bars_bounded(spark, d).where("code % 20 = 1").select("code", (F.row_number().over(w) - 1).alias("i"), I.log_return(w).alias("r")).where("i >= 1")
+    r = bars_bounded(spark, d).select("code", (F.row_number().over(w) - 1).alias("i"), I.log_return(w).alias("r")).where("i >= 1")
     z = r.select("code", "i", F.collect_list("r").over(W.partitionBy("code").orderBy("i").rowsBetween(-9, 0)).alias("v")).where("i >= 10").select("code", "i", M.znorm(F.col("v")).alias("z"))
     last = z.groupBy("code").agg(F.max("i").alias("m"), F.max_by("z", "i").alias("q"))
     return z.join(last, "code").where("i <= m - 10").select("code", F.col("i").cast("long").alias("i"), F.round(M.distance(F.col("q"), F.col("z")), 4).alias("dist"))
@@ -428,3 +429,50 @@ def sim_9_10_11_fused_forecast(spark, d):
     up = s.groupBy("code").agg((F.sum(F.when(F.col("v") > 0, F.col("w"))) / F.sum("w")).alias("up"))
     m = F.col("p50")
     return q.join(up, "code").select("code", *[F.round(m + 1.3 * (F.col(p) - m), 6).alias(p) for p in pts], F.round("up", 6).alias("up"))
+
+
+_POOL = f"""{BOUND}, {INSTRUMENTS_SQL}, {_RL.replace("v AS (", "y AS (SELECT code, row_number() OVER w - 1 AS i, date, round(lead(close) OVER w / close - 1, 9) AS nxt FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)), v AS (")},
+peers AS (SELECT code, peer FROM (SELECT a.code, b.code AS peer, row_number() OVER (PARTITION BY a.code ORDER BY abs(ln(greatest(a.mktcap, 10)) - ln(greatest(b.mktcap, 10))), b.code) AS rn FROM inst a JOIN inst b ON a.industry = b.industry AND a.code <> b.code) WHERE rn <= 3),
+w AS (SELECT z.code, z.i, z.z, y.date, y.nxt FROM z JOIN y USING (code, i)), l AS (SELECT code, max(date) AS d FROM w GROUP BY code), t AS (SELECT w.* FROM w JOIN l ON w.code = l.code AND w.date = l.d),
+m AS (SELECT t.code, t.date AS d, b.date, b.nxt, round(sqrt(list_sum(list_transform(range(1, 11), LAMBDA q: pow(t.z[q] - b.z[q], 2)))), 6) AS dist, b.code AS peer FROM t JOIN peers USING (code) JOIN w b ON b.code = peers.peer AND b.date < t.date AND b.nxt IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dist, peer, date) AS rn FROM m), g AS (SELECT code, dist, nxt, CASE WHEN d - date <= 90 THEN 1.0::DOUBLE ELSE greatest(0.3::DOUBLE, 1 - (d - date - 90)::DOUBLE / 365 * 0.5) END AS wt FROM k WHERE rn <= 10)"""
+
+
+@query(_POOL + " SELECT code, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(sum(wt * nxt) / sum(wt) + 1e-12, 6) END AS mean_next, round(sum(wt) FILTER (WHERE nxt > 0) / sum(wt), 6) AS p_up, round(exp(-least(median(dist), 6) / 1.25) * (0.65 + 0.35 * least(1, sqrt(count(*) / 6))), 6) AS weight, CASE WHEN count(*) >= 8 THEN 'high' WHEN count(*) >= 4 THEN 'mid' ELSE 'low' END AS confidence FROM g GROUP BY code")
+def sim_4_7_8_12_16_jn_10_pool_match(spark, d):
+    """What followed the ten windows of a code's peers most like its last one: peers' outcomes known by then only,
+    weighed by age; the level's weight by its median distance, and how sure it is by the number of samples."""
+    w = I.seq()
+    b = bars_bounded(spark, d)
+    r = b.select("code", "date", (F.row_number().over(w) - 1).alias("i"), I.log_return(w).alias("r"), F.round(F.lead("close").over(w) / F.col("close") - 1, 9).alias("nxt")).where("i >= 1")
+    z = r.select("code", "date", "i", "nxt", F.collect_list("r").over(W.partitionBy("code").orderBy("i").rowsBetween(-9, 0)).alias("v")).where("i >= 10").select("code", "date", "nxt", M.znorm(F.col("v")).alias("z"))
+    last = z.groupBy("code").agg(F.max_by(F.struct("date", "z"), "date").alias("x")).select("code", F.col("x.date").alias("d"), F.col("x.z").alias("q"))
+    pool = last.join(jn_17_peers(spark, d).select("code", "peer"), "code")
+    m = z.withColumnRenamed("code", "peer").where("nxt is not null").join(pool, "peer").where("date < d")
+    m = m.select("code", "peer", "date", "nxt", F.datediff("d", "date").alias("age"), F.round(M.distance(F.col("q"), F.col("z")), 6).alias("dist"))
+    k = m.withColumn("rn", F.row_number().over(W.partitionBy("code").orderBy("dist", "peer", "date"))).where("rn <= 10")
+    g = k.withColumn("wt", F.when(F.col("age") <= 90, 1.0).otherwise(F.greatest(F.lit(0.3), 1 - (F.col("age") - 90) / 365 * 0.5)))
+    n = F.count("*")
+    weight = F.exp(-F.least(F.median("dist"), F.lit(6.0)) / 1.25) * (0.65 + 0.35 * F.least(F.lit(1.0), F.sqrt(n / 6)))
+    return g.groupBy("code").agg(n.alias("n"), F.when(n >= 3, F.round(F.sum(F.col("wt") * F.col("nxt")) / F.sum("wt") + 1e-12, 6)).alias("mean_next"), F.round(F.sum(F.when(F.col("nxt") > 0, F.col("wt"))) / F.sum("wt"), 6).alias("p_up"), F.round(weight, 6).alias("weight"), F.when(n >= 8, "high").when(n >= 4, "mid").otherwise("low").alias("confidence"))
+
+
+@query(f"""{BOUND}, {INSTRUMENTS_SQL}, {RET}, k AS (SELECT industry, date, avg(r) AS m FROM r JOIN inst USING (code) WHERE r IS NOT NULL GROUP BY ALL), s AS (SELECT date, round(stddev_pop(m), 9) AS disp FROM k GROUP BY date HAVING count(*) >= 3),
+n AS (SELECT date, disp, row_number() OVER (ORDER BY date) AS i FROM s) SELECT a.date, any_value(a.disp) AS disp, CASE WHEN any_value(a.i) >= 60 THEN round((count(*) FILTER (WHERE b.disp < a.disp) + 0.5 * count(*) FILTER (WHERE b.disp = a.disp)) / any_value(a.i) + 1e-9, 6) END AS pct FROM n a JOIN n b ON b.i <= a.i GROUP BY a.date""")
+def ind_33_dispersion(spark, d):
+    """Dispersion of the industries' mean returns, and its percentile (mid-rank) among all days until then, from 60
+    days on. The series has one row a day, so it is ranked in one pass by insertion."""
+    import bisect
+
+    r = returns(spark, d).where("r is not null").join(instruments(spark, d).select("code", "industry"), "code")
+    s = r.groupBy("industry", "date").agg(F.avg("r").alias("m")).groupBy("date").agg(F.round(F.stddev_pop("m"), 9).alias("disp"), F.count("*").alias("n")).where("n >= 3")
+
+    def rank(pdf):
+        pdf, seen, out = pdf.sort_values("date", ignore_index=True), [], []
+        for x in pdf["disp"]:
+            bisect.insort(seen, x)
+            a, z = bisect.bisect_left(seen, x), bisect.bisect_right(seen, x)
+            out.append((a + 0.5 * (z - a)) / len(seen) if len(seen) >= 60 else None)
+        return pdf.assign(pct=out)[["date", "disp", "pct"]]
+
+    return s.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(rank, "date date, disp double, pct double").withColumn("pct", F.round(F.nanvl("pct", F.lit(None).cast("double")) + 1e-9, 6))

@@ -261,10 +261,10 @@ def ml_8_lasso_nnls(spark, d):
     return spark.createDataFrame(rows, "factor string, lasso double, nnls double")
 
 
-@query("WITH t AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000) * (p_partkey * 7919 % 1000) / 1e6 AS p FROM part WHERE p_partkey < 500), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS i, count(*) OVER () AS n FROM t), b AS (SELECT max(p) FILTER (WHERE p <= 0.05 * i / n) AS b FROM r) SELECT k, coalesce(p <= b, false) AS passed FROM r, b")
+@query("WITH t AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000) * (p_partkey * 7919 % 1000) / 1e6 AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS i, count(*) OVER () AS n FROM t), b AS (SELECT max(p) FILTER (WHERE p <= 0.05 * i / n) AS b FROM r) SELECT k, coalesce(p <= b, false) AS passed FROM r, b")
 def ml_9_bh_fdr(spark, d):
     h = F.col("p_partkey") * 7919 % 1000
-    t = table(spark, d, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("k"), (h * h / 1e6).alias("p"))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (h * h / 1e6).alias("p"))
     return X.bh_fdr(t, "p", 0.05).select("k", "passed")
 
 
@@ -461,9 +461,10 @@ def src_14_17_18_paged_union(spark, d):
     return one.groupBy("code").agg(F.count("*").alias("n"), F.min("date").alias("since"), F.max("date").alias("upto"))
 
 
-@query(f"{BOUND}, {FACTORS_SQL} SELECT code, date, close * k AS close, vol FROM bars JOIN fac USING (code) WHERE code % 2 = 0 AND date >= DATE '1996-01-01'")
+@query(f"{BOUND}, {FACTORS_SQL}, {INSTRUMENTS_SQL} SELECT code, date, close * k AS close, vol FROM bars JOIN fac USING (code) JOIN inst USING (code) WHERE tier <> 'small' AND date >= DATE '1996-01-01'")
 def src_29_30_31_panel(spark, d):
-    b = bars_bounded(spark, d).where("code % 2 = 0 and date >= date'1996-01-01'")
+    use = instruments(spark, d).where("tier != 'small'").select("code")
+    b = bars_bounded(spark, d).where("date >= date'1996-01-01'").join(use, "code", "left_semi")
     return b.join(factors(spark, d), "code").select("code", "date", (F.col("close") * F.col("k")).alias("close"), "vol")
 
 

@@ -223,9 +223,9 @@ def sql_2_qa_3_bar_count(spark, d):
     return bars_raw(spark, d).where("code = 3").agg(F.count("*").alias("n"))
 
 
-@query(f"{BARS} SELECT code, date, close FROM bars WHERE code IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 3)")
+@query(f"{BARS} SELECT code, date, close FROM bars WHERE code IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def sql_3_src_4_multi_key_scan(spark, d):
-    keys = table(spark, d, "supplier").where("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("code"))
+    keys = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("code"))
     return bars_raw(spark, d).join(keys, "code", "left_semi").select("code", "date", "close")
 
 
