@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators.signals import PRESETS, SELL_AT, Risk, alternate
+from tidemark.operators.signals import COLUMN_RULES, INDUSTRY, PRESETS, SELL_AT, Risk, alternate, bar_sides
 
 
 def atr14(h: np.ndarray, low: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -100,16 +100,13 @@ def measures(out: Outcome, days: int, floor: float) -> dict:
     return {"trades": len(t), "wins": int((t > 0).sum()), "winrate": float((t > 0).mean()) if len(t) else None, "pf": float(t[t > 0].sum()) / loss if loss > 1e-9 else None, "total": total - 1, "ann": total ** (1 / years) - 1 if total > 0 else -1.0, "mdd": float((out.curve / np.maximum.accumulate(out.curve) - 1).min()) if len(out.curve) else 0.0}
 
 
-RULES = ("macd", "kdj", "rsi", "boll", "ma", "composite")
+RULES = (*COLUMN_RULES, "l1_pattern", "l2_ind", "chip_peak", "sector_rot", "composite")
 MEASURES = "trades int, wins int, winrate double, pf double, total double, ann double, mdd double"
 ABLATION = f"code long, algo string, preset string, segment string, {MEASURES}"
 
 
-def _sides(pdf: pd.DataFrame, algo: str, risk: Risk) -> np.ndarray:
-    if algo == "composite":
-        return alternate(pdf["score"].to_numpy(float), np.full(len(pdf), risk.buy_th), SELL_AT, risk.cooldown)
-    s = pdf[f"sig_{algo}"]
-    return np.where(s == "BUY", 1, np.where(s == "SELL", -1, 0))
+def _composite(pdf: pd.DataFrame, risk: Risk) -> np.ndarray:
+    return alternate(pdf["score"].to_numpy(float), np.full(len(pdf), risk.buy_th), SELL_AT, risk.cooldown)
 
 
 def prepared(pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
@@ -123,6 +120,7 @@ def ablation(scored: DataFrame, last: int = 1000, least: int = 200) -> DataFrame
     """Every rule with every preset on each code's training part (all but the last quarter, 200 bars at least) and
     validation part: one row each; parts with fewer than two closed trades give none. Codes under `least` bars give none.
 
+    scored: with signals.INDUSTRY. Patterns, chips and the strides of the industry rules see the last `last` bars only.
     All candidates of a code are run in one group, on arrays made once.
     """
 
@@ -134,9 +132,10 @@ def ablation(scored: DataFrame, last: int = 1000, least: int = 200) -> DataFrame
             pdf, bars = prepared(pdf)
             n, val = len(pdf), max(200, len(pdf) // 4)
             dates = pd.to_datetime(pdf["date"])
+            sides = bar_sides(pdf)
             for algo in RULES:
                 for name, risk in PRESETS.items():
-                    side = _sides(pdf, algo, risk)
+                    side = _composite(pdf, risk) if algo == "composite" else sides[algo]
                     for seg, a, z in (("train", 0, n - val), ("val", n - val, n)):
                         if z - a < 30:
                             continue
@@ -145,7 +144,7 @@ def ablation(scored: DataFrame, last: int = 1000, least: int = 200) -> DataFrame
                             rows.append({"code": pdf["code"][0], "algo": algo, "preset": name, "segment": seg, **measures(out, (dates[z - 1] - dates[a]).days, 0.25)})
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ABLATION.split(", ")])
 
-    cols = ["code", "date", "open", "high", "low", "close", "score", *[f"sig_{a}" for a in RULES if a != "composite"]]
+    cols = ["code", "date", "open", "high", "low", "close", "vol", "score", *INDUSTRY, *[f"sig_{a}" for a in COLUMN_RULES]]
     return scored.select(*cols).groupBy("code").applyInPandas(run, ABLATION)
 
 
@@ -157,7 +156,7 @@ def single(scored: DataFrame, preset: str = "balanced") -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, bars = prepared(pdf)
         risk = PRESETS[preset]
-        side = _sides(pdf, "composite", risk)
+        side = _composite(pdf, risk)
         first = np.flatnonzero(side)
         if len(pdf) < 30 or not len(first):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])

@@ -173,3 +173,61 @@ def chip_snapshots(bars: DataFrame, tail: int = 20) -> DataFrame:
         return pd.DataFrame(out, columns=["code", "date", "sup", "res", "profit"])
 
     return bars.groupBy("code").applyInPandas(run, f"code {kind}, date date, sup double, res double, profit double")
+
+
+def chip_mass(low: np.ndarray, high: np.ndarray, vol: np.ndarray, start: int, bins: int = 200, decay: float = 0.02, floor: float = 0.002, cap: float = 0.2) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(rows, mids, mass): the cost distribution after each valid bar from `start` on, a row of `mass` for each.
+
+    Bin bounds and the usual volume come from the valid bars before `start`, which must be 30 or more, as must be
+    all; prices beyond the bounds count in the outer bins. None if there is no distribution.
+    """
+    ok = np.flatnonzero((vol > 0) & (low > 0) & (high >= low))
+    base = ok[ok < start]
+    if len(ok) < 30 or start < 30 or not len(base):
+        return None
+    lo, hi = low[base].min(), high[base].max()
+    if hi <= lo:
+        return None
+    step = (hi - lo) / bins
+    usual = np.sort(vol[base])[len(base) // 2]
+    keep = 1 - np.clip(decay * vol[ok] / usual, floor, cap)
+    at = lambda x: np.clip(((x[ok] - lo) / step).astype(int), 0, bins)
+    first, last = at(low), at(high)
+    share = vol[ok] / (last - first + 1)
+    mass, now, n = np.empty((len(ok) - len(base), bins + 1)), np.zeros(bins + 1), 0
+    for i in range(len(ok)):
+        now *= keep[i]
+        now[first[i] : last[i] + 1] += share[i]
+        if i >= len(base):
+            mass[n] = now
+            n += 1
+    return ok[len(base) :], lo + step * (np.arange(bins + 1) + 0.5), mass
+
+
+def chip_peaks(close: np.ndarray, mids: np.ndarray, mass: np.ndarray, prom: float = 0.0) -> np.ndarray:
+    """Support, resistance and profit (columns) of each close under its row of `mass`.
+
+    Support is -(close - peak) / close of the strongest local peak below, resistance the same above; a side without
+    a peak higher than `prom` of the highest bin takes its densest bin. Profit is the share of mass at or below the close.
+    """
+    peak = np.zeros(mass.shape, bool)
+    inner = mass[:, 1:-1]
+    peak[:, 1:-1] = (inner > mass[:, :-2]) & (inner >= mass[:, 2:]) & (inner > prom * mass.max(axis=1, keepdims=True))
+    below = mids[None, :] < close[:, None]
+    out = np.full((len(close), 3), np.nan)
+    for j, side in enumerate((below, ~below)):
+        tops = peak & side
+        use = np.where(tops.any(axis=1, keepdims=True), tops, side)
+        m = mids[np.argmax(np.where(use, mass, -1.0), axis=1)]
+        out[:, j] = np.where(use.any(axis=1), (m - close if j == 0 else close - m) / close, np.nan)
+    out[:, 2] = np.where(mids[None, :] <= close[:, None], mass, 0.0).sum(axis=1) / mass.sum(axis=1)
+    return out
+
+
+def chip_factors(low: np.ndarray, high: np.ndarray, close: np.ndarray, vol: np.ndarray, start: int, prom: float = 0.0, **settings: float) -> np.ndarray:
+    """chip_peaks for each bar of one code; NaN before `start` and where there is none."""
+    out = np.full((len(close), 3), np.nan)
+    m = chip_mass(low, high, vol, start, **settings)
+    if m is not None:
+        out[m[0]] = chip_peaks(close[m[0]], m[1], m[2], prom)
+    return out

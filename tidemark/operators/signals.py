@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as I
+from tidemark.operators.recursive import chip_factors
+from tidemark.operators.similarity import own_series
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,75 @@ def signal_columns(ind: DataFrame) -> DataFrame:
     )
 
 
+# Rules of price and volume alone, and those that look at the code's industry too.
+COLUMN_RULES = ("macd", "kdj", "rsi", "boll", "ma")
+INDUSTRY = ("lvl", "ma_lvl", "mom", "md", "ind_day")
+
+
+def pattern_side(close: np.ndarray) -> np.ndarray:
+    """SIG-6: every fifth bar, 1 where at least 60 % of the best own matches rose, -1 where at most 40 % did; five
+    outcomes are needed."""
+    out = np.zeros(len(close), np.int8)
+    for i, up, _, n, _ in own_series(close):
+        if up is not None and n >= 5:
+            out[i] = 1 if up >= 0.6 else -1 if up <= 0.4 else 0
+    return out
+
+
+def chip_side(low: np.ndarray, high: np.ndarray, close: np.ndarray, vol: np.ndarray) -> np.ndarray:
+    """SIG-8: mostly loss and near support buys, mostly profit sells; from a quarter of the bars on, the 251st at latest."""
+    f = chip_factors(low, high, close, vol, min(250, len(close) // 4))
+    with np.errstate(invalid="ignore"):
+        return np.where((f[:, 2] < 0.35) & (f[:, 0] > -0.04), 1, np.where(f[:, 2] > 0.9, -1, 0)).astype(np.int8)
+
+
+def industry_sides(close: np.ndarray, lvl: np.ndarray, ma: np.ndarray, mom: np.ndarray, md: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SIG-7 and SIG-9, every third bar from the sixth on: the industry against its own average, and against the
+    median industry with the code's five-bar return beside it."""
+    i = np.arange(len(close))
+    due = (i >= 5) & ((i - 5) % 3 == 0)
+    r5 = np.full(len(close), np.nan)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r5[5:] = np.round(close[5:] / close[:-5] - 1, 9)
+        own = due & (j > 20)
+        l2 = np.where(own & (lvl > ma) & (mom > 0), 1, np.where(own & (lvl < ma) & (mom < 0), -1, 0))
+        rot = np.where(due & (mom > md) & (r5 > 0.0101), 1, np.where(due & (mom < md) & (r5 < 0), -1, 0))
+    return l2.astype(np.int8), rot.astype(np.int8)
+
+
+def with_industry(frame: DataFrame, sector: DataFrame, inst: DataFrame) -> DataFrame:
+    """frame with INDUSTRY of each code's industry on each day (sector: industry, date, lvl, ma, mom, md), null where
+    there is none."""
+    q = sector.select("industry", "date", "lvl", F.col("ma").alias("ma_lvl"), "mom", "md", F.row_number().over(I.seq("industry")).alias("ind_day"))
+    return frame.join(inst.select("code", "industry"), "code", "left").join(q, ["industry", "date"], "left").drop("industry")
+
+
+def bar_sides(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """1, -1 or 0 per bar for every rule but the composite, of one code's bars in order of date."""
+    out = {a: np.where(pdf[f"sig_{a}"] == "BUY", 1, np.where(pdf[f"sig_{a}"] == "SELL", -1, 0)).astype(np.int8) for a in COLUMN_RULES}
+    o = {x: pdf[x].to_numpy(float) for x in ("low", "high", "close", "vol", *INDUSTRY)}
+    out["l1_pattern"] = pattern_side(o["close"])
+    out["l2_ind"], out["sector_rot"] = industry_sides(o["close"], *[o[x] for x in INDUSTRY])
+    out["chip_peak"] = chip_side(o["low"], o["high"], o["close"], o["vol"])
+    return out
+
+
+def registry(scored: DataFrame, preset: str = "balanced") -> DataFrame:
+    """algo, code, buys, sells of every registered rule over each code's bars (scored, with INDUSTRY); rules without a
+    signal give no row. The composite goes by `preset`."""
+    kind = dict(scored.dtypes)["code"]
+    risk = PRESETS[preset]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", ignore_index=True)
+        sides = bar_sides(pdf) | {"composite": alternate(pdf["score"].to_numpy(float), np.full(len(pdf), risk.buy_th), SELL_AT, risk.cooldown)}
+        rows = [(a, pdf["code"][0], int((s > 0).sum()), int((s < 0).sum())) for a, s in sides.items() if s.any()]
+        return pd.DataFrame(rows, columns=["algo", "code", "buys", "sells"])
+
+    cols = ["code", "date", "low", "high", "close", "vol", "score", *INDUSTRY, *[f"sig_{a}" for a in COLUMN_RULES]]
+    return scored.select(*cols).groupBy("code").applyInPandas(run, f"algo string, code {kind}, buys long, sells long")
+
+
 def drop_repeats(events: DataFrame, keys: list[str], order: str, what: str) -> DataFrame:
     """Events whose side differs from the event before."""
     from pyspark.sql import Window as W

@@ -54,6 +54,28 @@ def greedy_apart(score: np.ndarray, at: np.ndarray, k: int, gap: int) -> list[in
     return taken
 
 
+def own_series(c: np.ndarray, width: int = 10, k: int = 10, every: int = 5, horizon: int = 1) -> list[tuple[int, float | None, float | None, int, float]]:
+    """(bar, p_up, mean_next, n, best) of one code's closes, as own_matches tells."""
+    out = []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.nan_to_num(np.diff(np.log(np.where(c > 0, c, np.nan))))
+    if len(r) >= width:
+        z = _windows(r, width)  # window j: returns j .. j+width-1, it ends at bar j+width
+        nxt = np.full(len(c), np.nan)
+        nxt[:-horizon] = c[horizon:] / np.where(c[:-horizon] > 0, c[:-horizon], np.nan) - 1
+        for q in range(0, len(z), every):
+            last = q - width - horizon
+            if last < 5:
+                continue
+            d = np.sqrt(np.maximum(2 * width - 2 * z[: last + 1] @ z[q], 0))
+            pick = greedy_apart(np.round(d, 9), np.arange(last + 1), k, max(3, width // 2))
+            y = nxt[np.array(pick) + width]
+            y = y[np.isfinite(y)]
+            ok = len(pick) >= 6 and len(y) >= 3
+            out.append((q + width, float((y > 0).mean()) if ok else None, float(y.mean()) if ok else None, len(y), float(d.min())))
+    return out
+
+
 def own_matches(bars: DataFrame, width: int = 10, k: int = 10, every: int = 5, horizon: int = 1) -> DataFrame:
     """code, date, p_up, mean_next, n, best: every `every` bars, what followed the k own windows most like the last.
 
@@ -64,24 +86,7 @@ def own_matches(bars: DataFrame, width: int = 10, k: int = 10, every: int = 5, h
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        c = pdf["close"].to_numpy(float)
-        out = []
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = np.nan_to_num(np.diff(np.log(np.where(c > 0, c, np.nan))))
-        if len(r) >= width:
-            z = _windows(r, width)  # window j: returns j .. j+width-1, it ends at bar j+width
-            nxt = np.full(len(c), np.nan)
-            nxt[:-horizon] = c[horizon:] / np.where(c[:-horizon] > 0, c[:-horizon], np.nan) - 1
-            for q in range(0, len(z), every):
-                last = q - width - horizon
-                if last < 5:
-                    continue
-                d = np.sqrt(np.maximum(2 * width - 2 * z[: last + 1] @ z[q], 0))
-                pick = greedy_apart(np.round(d, 9), np.arange(last + 1), k, max(3, width // 2))
-                y = nxt[np.array(pick) + width]
-                y = y[np.isfinite(y)]
-                ok = len(pick) >= 6 and len(y) >= 3
-                out.append((pdf["code"].iloc[0], pdf["date"].iloc[q + width], float((y > 0).mean()) if ok else None, float(y.mean()) if ok else None, len(y), float(d.min())))
+        out = [(pdf["code"].iloc[0], pdf["date"].iloc[i], *x) for i, *x in own_series(pdf["close"].to_numpy(float), width, k, every, horizon)]
         return pd.DataFrame(out, columns=["code", "date", "p_up", "mean_next", "n", "best"])
 
     kind = dict(bars.dtypes)["code"]

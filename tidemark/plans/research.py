@@ -28,6 +28,14 @@ def scored(spark, d):
     return S.score(S.signal_columns(with_recursive(bars_bounded(spark, d))))
 
 
+def ruled(spark, d):
+    """scored, with what the rules that look at industries need."""
+    from tidemark.plans.sequences import sector
+
+    inst = instruments(spark, d)
+    return S.with_industry(scored(spark, d), sector(bars_bounded(spark, d), inst), inst)
+
+
 # ---- back-tests ------------------------------------------------------------------------------------------------
 
 
@@ -38,19 +46,19 @@ def bt_1_single(spark, d):
 
 @query()
 def bt_2_4_ablation(spark, d):
-    return B.ablation(scored(spark, d))
+    return B.ablation(ruled(spark, d))
 
 
 @query()
 def bt_5_choice(spark, d):
-    c = cut(B.ablation(scored(spark, d)), "ablation")
+    c = cut(B.ablation(ruled(spark, d)), "ablation")
     return B.choose(c, "steady").withColumn("objective", F.lit("steady")).union(B.choose(c, "bold").withColumn("objective", F.lit("bold")))
 
 
 @query()
 def agg_15_bt_4_ablation_summary(spark, d):
     """Per rule and segment: candidates, medians and means of what they made."""
-    return B.ablation(scored(spark, d)).groupBy("algo", "segment").agg(F.count("*").alias("n"), F.round(F.median("ann"), 6).alias("ann_median"), F.round(F.avg("ann"), 6).alias("ann_mean"), F.round(F.median("mdd"), 6).alias("mdd_median"), F.round(F.median("winrate"), 6).alias("winrate_median"))
+    return B.ablation(ruled(spark, d)).groupBy("algo", "segment").agg(F.count("*").alias("n"), F.round(F.median("ann"), 6).alias("ann_median"), F.round(F.avg("ann"), 6).alias("ann_mean"), F.round(F.median("mdd"), 6).alias("mdd_median"), F.round(F.median("winrate"), 6).alias("winrate_median"))
 
 
 @query(f"""{BOUND}, {INDEX_SQL}, m AS (SELECT date, idx, CASE WHEN count(*) OVER (ORDER BY date ROWS 119 PRECEDING) >= 120 THEN avg(idx) OVER (ORDER BY date ROWS 119 PRECEDING) END AS ma FROM idx), g AS (SELECT date, CASE WHEN idx >= ma THEN 'bull' ELSE 'bear' END AS regime FROM m WHERE ma IS NOT NULL),

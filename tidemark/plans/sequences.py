@@ -184,11 +184,15 @@ def sig_9_sector_rotation(spark, d):
 
 
 def sig_8_chip_peak(spark, d):
-    """From the chip snapshots of a code's last days: mostly loss and near support buys, mostly profit sells."""
-    b = bars_bounded(spark, d)
-    x = R.chip_snapshots(b).join(b.select("code", "date", "close"), ["code", "date"])
-    dist = -(F.col("close") - F.col("sup")) / F.col("close")
-    return x.select("code", "date", S.side((F.col("profit") < 0.35) & (dist > -0.04), F.col("profit") > 0.9).alias("side")).where("side is not null")
+    """From the chip features of each bar: mostly loss and near support buys, mostly profit sells."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", ignore_index=True)
+        s = S.chip_side(*[pdf[x].to_numpy(float) for x in ("low", "high", "close", "vol")])
+        return pd.DataFrame({"code": pdf["code"], "date": pdf["date"], "side": pd.Series(s).map({1: "BUY", -1: "SELL"})})[s != 0]
+
+    return bars_bounded(spark, d).groupBy("code").applyInPandas(run, "code long, date date, side string")
 
 
 def _scored(spark, d):
@@ -239,10 +243,8 @@ def sig_18_19_scan(spark, d):
 
 def sig_20_udf_6_registry(spark, d):
     """Signals of every registered rule in one table: algo, code, buys, sells."""
-    x = signals(spark, d)
-    rules = [c for c in x.columns if c.startswith("sig_")]
-    long = x.select("code", F.explode(F.array(*[F.struct(F.lit(c[4:]).alias("algo"), F.col(c).alias("side")) for c in rules])).alias("x")).where("x.side is not null")
-    return long.groupBy("x.algo", "code").agg(F.count_if(F.col("x.side") == "BUY").alias("buys"), F.count_if(F.col("x.side") == "SELL").alias("sells"))
+    inst = instruments(spark, d)
+    return S.registry(S.with_industry(_scored(spark, d), sector(bars_bounded(spark, d), inst), inst))
 
 
 for _f in (ind_9_adx, ind_4_15_bottom_fishing, ind_17_19_chips, ind_18_chip_snapshots, sig_3_rsi, sig_8_chip_peak, sig_10_12_composite, sig_11_daily_scores, sig_13_14_band_router, sig_15_16_daily_picks, sig_17_verdict, sig_18_19_scan, sig_20_udf_6_registry):
