@@ -67,3 +67,53 @@ def test_chip_sides_reach_back_to_the_quarter():
     low, high, close, vol = walk(500)
     s = S.chip_side(low, high, close, vol)
     assert s[:125].any() == 0 and s[125:480].any()
+
+
+def bars_of(n, seed):
+    import pandas as pd
+
+    low, high, c, vol = walk(n, seed)
+    return pd.DataFrame({"code": seed, "date": pd.date_range("2000-01-03", periods=n).date, "open": (low + high) / 2, "high": high, "low": low, "close": c, "vol": vol})
+
+
+def test_pool_series_against_loop():
+    from tidemark.operators import matching as N
+
+    t, peers = N.Series(bars_of(70, 1), 10), [N.Series(bars_of(n, s), 10) for n, s in ((80, 2), (60, 3), (75, 4), (66, 5))]
+    got = N.pool_series(t, peers, cells=300)
+    for i, day in enumerate(t.day):
+        found = []
+        for p in peers:
+            for j in range(len(p.at)):
+                if not (np.isfinite(p.nxt[j]) and p.known[j] <= day):
+                    continue
+                a, b = ({k: float(x[m]) for k, x in q.ctx.items()} for q, m in ((t, i), (p, j)))
+                rms = lambda names: np.mean([(a[x] - b[x]) ** 2 for x in names]) ** 0.5
+                d = np.sqrt(((t.z[i] - p.z[j]).astype(float) ** 2).sum()) + 0.6 * min(abs(np.log(a["vr"] / b["vr"])), 2.5)
+                d += 0.5 * rms(N.SHAPES[:4]) + 0.8 * min(abs(np.log(a["vola10"] / b["vola10"])), 1.5) + 0.5 * abs(a["rsi14s"] - b["rsi14s"]) / 100
+                d += 0.4 * min(abs(a["volchg5"] - b["volchg5"]), 1.5) + 0.6 * min(5 * rms(N.SHAPES[4:]), 1.5)
+                age = day - p.known[j]
+                found.append((d, p.nxt[j], 1.0 if age <= 90 else max(0.3, 1 - (age - 90) / 365 * 0.5)))
+        top = sorted(found)[:10]
+        want = sum(y * w for _, y, w in top) / sum(w for *_, w in top) if len(top) >= 3 else np.nan
+        assert np.isclose(got[i], want, equal_nan=True, atol=1e-6)
+    assert np.isfinite(got).sum() > 30
+
+
+def test_nearest_peers_against_all_pairs():
+    import pandas as pd
+    from tidemark.operators import matching as N
+
+    g = np.random.default_rng(1)
+    x = pd.DataFrame({"code": np.arange(90), "s": g.integers(0, 30, 90) / 10, "ind": g.integers(0, 4, 90)})
+    for k, others in ((50, None), (7, "ind")):
+        got = N.nearest(x, k, others)
+        for c, s, i in x.itertuples(index=False):
+            rest = [(abs(y - s), o) for o, y, j in x.itertuples(index=False) if o != c and not (others and i == j)]
+            assert got["peer"][got["code"] == c].tolist() == [o for _, o in sorted(rest)[:k]]
+
+
+@needs_tables
+def test_pool_has_every_window_end(spark):
+    got = registry.queries()["sim_7_jn_17_pool_series"](spark, DATA).toPandas()
+    assert (got.groupby("code").size() > 100).mean() > 0.9

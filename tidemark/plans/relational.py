@@ -457,6 +457,14 @@ def sim_4_7_8_12_16_jn_10_pool_match(spark, d):
     return g.groupBy("code").agg(n.alias("n"), F.when(n >= 3, F.round(F.sum(F.col("wt") * F.col("nxt")) / F.sum("wt") + 1e-12, 6)).alias("mean_next"), F.round(F.sum(F.when(F.col("nxt") > 0, F.col("wt"))) / F.sum("wt"), 6).alias("p_up"), F.round(weight, 6).alias("weight"), F.when(n >= 8, "high").when(n >= 4, "mid").otherwise("low").alias("confidence"))
 
 
+@query()
+def sim_7_jn_17_pool_series(spark, d):
+    """At every window end of a code, what followed the ten windows of its 50 nearest peers most like it."""
+    from tidemark.operators import matching as N
+
+    return N.pool_factor(bars_bounded(spark, d), N.peers_of(instruments(spark, d), "industry", 50), "l2")
+
+
 @query(f"""{BOUND}, {INSTRUMENTS_SQL}, {RET}, k AS (SELECT industry, date, avg(r) AS m FROM r JOIN inst USING (code) WHERE r IS NOT NULL GROUP BY ALL), s AS (SELECT date, round(stddev_pop(m), 9) AS disp FROM k GROUP BY date HAVING count(*) >= 3),
 n AS (SELECT date, disp, row_number() OVER (ORDER BY date) AS i FROM s) SELECT a.date, any_value(a.disp) AS disp, CASE WHEN any_value(a.i) >= 60 THEN round((count(*) FILTER (WHERE b.disp < a.disp) + 0.5 * count(*) FILTER (WHERE b.disp = a.disp)) / any_value(a.i) + 1e-9, 6) END AS pct FROM n a JOIN n b ON b.i <= a.i GROUP BY a.date""")
 def ind_33_dispersion(spark, d):
