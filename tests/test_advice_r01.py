@@ -117,3 +117,14 @@ def test_nearest_peers_against_all_pairs():
 def test_pool_has_every_window_end(spark):
     got = registry.queries()["sim_7_jn_17_pool_series"](spark, DATA).toPandas()
     assert (got.groupby("code").size() > 100).mean() > 0.9
+
+
+@needs_tables
+def test_atomic_factors_are_all_there(spark):
+    from tidemark.operators import atomic as A
+
+    got = registry.queries()["ind_24_atomic_factors"](spark, DATA).toPandas()
+    assert set(A.NAMES) <= set(got.columns) and not got.duplicated(["code", "date"]).any()
+    assert (got[list(A.NAMES)].notna().mean() > 0.4).all()
+    assert {"l1_up", "l1_ret", "rsi14", "atr_pct"} <= set(registry.queries()["ind_23_l1_rsi_atr"](spark, DATA).columns)
+    assert {"s_body", "wk4", "vr", "drop5", "vr5_20"} <= set(registry.queries()["ind_25_26_context"](spark, DATA).columns)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators import atomic as A
 from tidemark.operators import backtest as B
 from tidemark.operators import crosssec as X
+from tidemark.operators import matching as N
 from tidemark.operators import ml as L
 from tidemark.operators import signals as S
 from tidemark.operators import windows as I
@@ -217,6 +219,42 @@ def _panel(spark, d):
     return b.select("code", "date", *[F.round(e, 9).alias(n) for n, e in x.items()])
 
 
+def _atomic(spark, d):
+    """code, date, y and the 21 atomic factors: columns, own matches and chips, peers by industry and by size, market."""
+    b, inst = bars_bounded(spark, d), instruments(spark, d)
+    w = W.orderBy("date")  # one row a day
+    mkt = index_close(b).select("date", (F.col("idx") / F.lag("idx", 5).over(w) - 1).alias("mkt5"))
+    x = A.column_factors(scored(spark, d)).join(inst.select("code", "industry"), "code").join(F.broadcast(mkt), "date", "left")
+    x = x.join(A.sector_points(b, inst), ["industry", "date"], "left").join(A.own_and_chips(b), ["code", "date"], "left")
+    for name, peers in (("l2", N.peers_of(inst, "industry", 50)), ("l3", N.peers_of(inst, "tier", 30, "industry"))):
+        x = x.join(N.pool_factor(b, peers, name), ["code", "date"], "left")
+    return x.select("code", "date", "y", *A.NAMES)
+
+
+def _atomic_stats(spark, d):
+    """The sufficient statistics of each day of the standardised 21 factors."""
+    return cut(L.day_stats(A.standardised(cut(_atomic(spark, d), "atomic"), A.NAMES), list(A.NAMES), "y", least=10), "stats")
+
+
+@query()
+def ind_24_atomic_factors(spark, d):
+    return _atomic(spark, d)
+
+
+@query()
+def ind_23_l1_rsi_atr(spark, d):
+    """The four factors of IND-23 that ind_23_24_25_26_ml_factors doesn't hold."""
+    return A.l1_rsi_atr(bars_bounded(spark, d))
+
+
+@query()
+def ind_25_26_context(spark, d):
+    """IND-25's context with structure and weekly returns, and IND-26's volume ratio and five-day drop."""
+    b, w = bars_bounded(spark, d), I.seq()
+    more = b.select("code", "date", (I.sma(F.col("vol"), 5, w) / F.nullif(I.sma(F.col("vol"), 20, w), F.lit(0.0))).alias("vr5_20"), I.change(F.col("close"), 5, w).alias("drop5"))
+    return A.context_factors(b).join(more, ["code", "date"])
+
+
 _NN = " AND ".join(f"{x} IS NOT NULL" for x in [*XS, "y"])
 
 
