@@ -119,6 +119,28 @@ def test_pool_has_every_window_end(spark):
     assert (got.groupby("code").size() > 100).mean() > 0.9
 
 
+def test_subset_sums_equal_the_quadratic_form():
+    from tidemark.operators import ml as L
+
+    g = np.random.default_rng(2)
+    x, y = g.normal(size=(30, 40, 21)), g.normal(size=(30, 40))
+    x[3, :, :5] = 0
+    s, q, yy = np.einsum("dni,dn->di", x, y), np.einsum("dni,dnj->dij", x, x), (y * y).sum(axis=1)
+    m = np.append(g.integers(1, 1 << 21, 50), [1, (1 << 21) - 1])
+    assert np.allclose(L.subset_ic_sums(m, 21, s, L.pair_sums(q, 21), yy), L.subset_ic(m, 21, s, q, yy))
+
+
+@needs_tables
+def test_all_subsets_of_all_factors(spark, monkeypatch):
+    from tidemark.operators import atomic as A
+    from tidemark.operators import ml as L
+
+    seen = {}
+    monkeypatch.setattr(L, "all_subsets", lambda spark, s, k: seen.update(k=k) or spark.range(1).selectExpr("id mask", "1 size", "0d train_ic", "0d train_ir", "0d val_ic", "0d val_ir"))
+    registry.queries()["ml_2_4_all_subsets"](spark, DATA)
+    assert seen["k"] == len(A.NAMES) == 21
+
+
 @needs_tables
 def test_atomic_factors_are_all_there(spark):
     from tidemark.operators import atomic as A

@@ -266,8 +266,8 @@ def ml_3_sufficient_statistics(spark, d):
 
 @query()
 def ml_2_4_all_subsets(spark, d):
-    s = cut(L.day_stats(_panel(spark, d), XS, "y", least=10), "stats")
-    m = L.all_subsets(spark, s, len(XS))
+    """All 2^21 subsets of the atomic factors, those of no factor left out."""
+    m = L.all_subsets(spark, _atomic_stats(spark, d), len(A.NAMES))
     return m.select("mask", "size", *[F.round(c, 6).alias(c) for c in ("train_ic", "train_ir", "val_ic", "val_ir")])
 
 
@@ -358,9 +358,9 @@ def ml_1_boosted(spark, d):
 
 @query()
 def ml_11_15_candidates(spark, d):
-    """Single factors and their sum by train and validation IC, ranked by a weighted score."""
-    m = ml_2_4_all_subsets(spark, d).where(f"size = 1 or size = {len(XS)}")
-    r = lambda c: F.percent_rank().over(W.orderBy(F.col(c), "mask"))  # noqa: E731  one row a candidate
+    """Every subset by train and validation IC, ranked by a weighted score."""
+    m = cut(ml_2_4_all_subsets(spark, d), "subsets")
+    r = lambda c: F.percent_rank().over(W.orderBy(F.col(c), "mask"))  # noqa: E731  one row a candidate, 2^21 - 1 whatever the data
     return m.withColumn("total", F.round(0.25 * r("train_ic") + 0.15 * r("train_ir") + 0.35 * r("val_ic") + 0.25 * r("val_ir"), 6)).select("mask", "total")
 
 
