@@ -150,3 +150,26 @@ def test_atomic_factors_are_all_there(spark):
     assert (got[list(A.NAMES)].notna().mean() > 0.4).all()
     assert {"l1_up", "l1_ret", "rsi14", "atr_pct"} <= set(registry.queries()["ind_23_l1_rsi_atr"](spark, DATA).columns)
     assert {"s_body", "wk4", "vr", "drop5", "vr5_20"} <= set(registry.queries()["ind_25_26_context"](spark, DATA).columns)
+
+
+def test_reselection_reaches_the_last_day_and_is_scored():
+    from tidemark.operators import ml as L
+
+    g = np.random.default_rng(4)
+    x, y = g.normal(size=(500, 20, 3)), g.normal(size=(500, 20))
+    s, q, yy = np.einsum("dni,dn->di", x, y), np.einsum("dni,dnj->dij", x, x), (y * y).sum(axis=1)
+    got = L.reselected(s, q, yy, 4)
+    assert [r[0] for r in got] == [200, 260, 320, 380, 440, 500]
+    assert [r[2] for r in got] == [60, 60, 60, 60, 59, 0] and got[-1][3] is None
+    f = [i for i, _ in got[1][1]]
+    want = [s[t, f].sum() / np.sqrt(q[t][np.ix_(f, f)].sum() * yy[t]) for t in range(261, 321)]
+    assert np.isclose(got[1][3], np.mean(want))
+    assert [r[0] for r in L.reselected(s[:90], q[:90], yy[:90], 4)] == [90] and L.reselected(s[:0], q[:0], yy[:0], 4) == []
+
+
+@needs_tables
+def test_greedy_path_over_all_days(spark):
+    r = registry.queries()
+    days = r["ml_3_sufficient_statistics"](spark, DATA).count()
+    got = r["ml_6_10_greedy_path"](spark, DATA).toPandas()
+    assert got["days"].max() == days and got["oos_ic"].notna().any()

@@ -280,10 +280,10 @@ def ml_5_sign_flip(spark, d):
 
 @query()
 def ml_6_10_greedy_path(spark, d):
-    """The greedy path over all days, and over an expanding part of them."""
+    """The greedy path over all days, and over a part that expands by 60 days, with its IC on the 60 days after it."""
     s, g, yy = L._arrays(cut(L.day_stats(_panel(spark, d), XS, "y", least=10), "stats"), len(XS), "date")
-    rows = [(k, i, XS[f], round(v, 6)) for k in range(200, len(yy) + 1, 400) for i, (f, v) in enumerate(L.greedy(s[:k], g[:k], yy[:k], 4))]
-    return spark.createDataFrame(rows, "days int, step int, factor string, ic double")
+    rows = [(n, i, XS[f], round(v, 6), m, *(None if x is None else round(x, 6) for x in oos)) for n, path, m, *oos in L.reselected(s, g, yy, 4) for i, (f, v) in enumerate(path)]
+    return spark.createDataFrame(rows, "days int, step int, factor string, ic double, oos_days int, oos_ic double, oos_ir double")
 
 
 @query()
