@@ -173,3 +173,10 @@ def test_greedy_path_over_all_days(spark):
     days = r["ml_3_sufficient_statistics"](spark, DATA).count()
     got = r["ml_6_10_greedy_path"](spark, DATA).toPandas()
     assert got["days"].max() == days and got["oos_ic"].notna().any()
+
+
+@needs_tables
+def test_chip_grid_scores_54_settings_over_training_days(spark):
+    got = registry.queries()["ml_13_chip_grid"](spark, DATA).toPandas()
+    assert len(got.drop_duplicates(["bins", "decay", "cap", "prom"])) == len(got) == 54
+    assert (got["days"] > 500).all() and got["score"].notna().all() and got["score"].nunique() > 10

@@ -324,17 +324,20 @@ def ml_12_per_code_check(spark, d):
 
 @query()
 def ml_13_chip_grid(spark, d):
-    """Settings of the chip distribution by how far its profit share tells codes' last 20-day returns apart."""
-    from tidemark.operators.recursive import chip_summary
-
+    """The 54 settings of the chip distribution by the mean |IC| of its three factors with the next return, day by day
+    over the first 70 % of the days."""
     b = bars_bounded(spark, d)
-    last = b.select("code", "date", I.change(F.col("close"), 20, I.seq()).alias("x")).groupBy("code").agg(F.max_by("x", "date").alias("x"))
-    out = None
-    for bins in (60, 120):
-        for decay in (0.01, 0.03):
-            c = chip_summary(b, bins=bins, decay=decay).join(last, "code").agg(F.lit(bins).alias("bins"), F.lit(decay).alias("decay"), F.round(corr("profit", "x"), 6).alias("ic"), F.count("*").alias("n"))
-            out = c if out is None else out.union(c)
-    return out
+    days = [r["date"] for r in b.select("date").distinct().orderBy("date").collect()]  # one row a day
+    upto = days[int(len(days) * 0.7) - 1] if len(days) > 1 else None
+    x = A.chip_settings(b, upto)
+    kinds = ["bins", "decay", "cap", "prom"]
+    y = lambda f: F.when(F.col(f).isNotNull(), F.col("y"))
+    z = x.withColumns({f"y_{f}": y(f) for f in A.CHIPS})
+    ic = z.groupBy(*kinds, "date").agg(*[F.when(F.count(f) >= 10, corr(f, f"y_{f}")).alias(f) for f in A.CHIPS])
+    m = ic.groupBy(*kinds).agg(*[F.round(F.avg(f), 6).alias(f"ic_{f}") for f in A.CHIPS], F.count("chip_profit").alias("days"), *[F.avg(f).alias(f"_{f}") for f in A.CHIPS])
+    known = F.array_compact(F.array(*[F.abs(F.col(f"_{f}")) for f in A.CHIPS]))
+    score = F.round(F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known)), 6)
+    return m.select(*kinds, *[f"ic_{f}" for f in A.CHIPS], "days", score.alias("score"))
 
 
 @query(f"{BOUND}, {_PANEL}, q AS (SELECT *, CASE WHEN f_ret5 IS NULL OR f_ret20 IS NULL OR f_vola IS NULL OR abs(f_gap) > 0.1 THEN 1 ELSE 0 END AS miss FROM p), l AS (SELECT code, max(date) FILTER (WHERE miss = 1) AS l FROM q GROUP BY code), k AS (SELECT q.code, q.date FROM q JOIN l USING (code) WHERE l IS NULL OR q.date > l) SELECT code, min(date) AS since, count(*) AS n FROM k GROUP BY code HAVING count(*) >= 20")
