@@ -180,3 +180,32 @@ def test_chip_grid_scores_54_settings_over_training_days(spark):
     got = registry.queries()["ml_13_chip_grid"](spark, DATA).toPandas()
     assert len(got.drop_duplicates(["bins", "decay", "cap", "prom"])) == len(got) == 54
     assert (got["days"] > 500).all() and got["score"].notna().all() and got["score"].nunique() > 10
+
+
+def test_extra_distance_against_the_formula():
+    from tidemark.operators import matching as N
+
+    b = bars_of(60, 6)
+    x = N.context(*[b[c].to_numpy(float) for c in ("open", "high", "low", "close", "vol")])
+    got = N.extra({k: v[-1:] for k, v in x.items()}, {k: v[:-1] for k, v in x.items()})[0]
+    for i in range(59):
+        rms = lambda names: np.mean([(x[n][-1] - x[n][i]) ** 2 for n in names]) ** 0.5
+        terms = [(0.5, 0.5 * rms(N.SHAPES[:4])), (0.8, 0.8 * min(abs(np.log(x["vola10"][-1] / x["vola10"][i])), 1.5)), (0.5, 0.5 * abs(x["rsi14s"][-1] - x["rsi14s"][i]) / 100), (0.4, 0.4 * min(abs(x["volchg5"][-1] - x["volchg5"][i]), 1.5)), (0.6, 0.6 * min(5 * rms(N.SHAPES[4:]), 1.5))]
+        terms[1:2] = [(0.8, terms[1][1] if np.isfinite(x["vola10"][i]) else np.nan)]
+        assert np.isclose(got[i], sum(w / 2 if np.isnan(t) else t for w, t in terms))
+
+
+@needs_tables
+def test_own_matches_of_every_day(spark):
+    q = registry.queries()
+    got = q["sim_5_6_sig_6_own_matches"](spark, DATA).toPandas()
+    bars = q["ind_25_26_context"](spark, DATA).groupBy("code").count().toPandas().set_index("code")["count"].sort_index()
+    assert got.groupby("code").size().to_dict() == {c: n - 26 for c, n in bars.items() if n > 26}
+    import pandas as pd
+    from tidemark.sources.views import bars_bounded
+
+    one = bars_bounded(spark, DATA).where("code = 7").toPandas().sort_values("date")
+    want = S.pattern_side(one["close"].to_numpy(float))
+    mine = got[got["code"] == 7].set_index("date")["side"].map({"BUY": 1, "SELL": -1})
+    assert (mine.reindex(one["date"]).fillna(0).to_numpy() == want).all() and np.count_nonzero(want) > 10
+    assert isinstance(mine, pd.Series) and "sim_2_extra_distance" in q

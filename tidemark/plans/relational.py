@@ -399,8 +399,11 @@ def sim_1_jn_9_window_distance(spark, d):
 
 
 def sim_5_6_sig_6_own_matches(spark, d):
-    m = M.own_matches(bars_bounded(spark, d))
-    return m.select("code", "date", F.round("p_up", 6).alias("p_up"), F.round("mean_next", 6).alias("mean_next"), "n", F.round("best", 4).alias("best"), F.when(F.col("p_up") >= 0.6, "BUY").when(F.col("p_up") <= 0.4, "SELL").alias("side"))
+    """SIM-6 for every bar; SIG-6's side on every fifth of them, with five outcomes at least."""
+    m = M.own_matches(bars_bounded(spark, d), every=1)
+    # The first value is that of the 17th window, so every fifth row is one of the windows 20, 25, ...
+    fifth = (F.row_number().over(I.seq()) % 5 == 0) & (F.col("n") >= 5)
+    return m.select("code", "date", F.round("p_up", 6).alias("p_up"), F.round("mean_next", 6).alias("mean_next"), "n", F.round("best", 4).alias("best"), F.when(fifth & (F.col("p_up") >= 0.6), "BUY").when(fifth & (F.col("p_up") <= 0.4), "SELL").alias("side"))
 
 
 QUERIES["sim_5_6_sig_6_own_matches"] = sim_5_6_sig_6_own_matches
@@ -413,6 +416,15 @@ def sim_2_3_penalties(spark, d):
     return r.select("code", "date", F.round(p + 1e-9, 5).alias("pen"))
 
 
+@query()
+def sim_2_extra_distance(spark, d):
+    """What structure, deviation, RSI, volume change and weekly returns add to the distance of a code's last bar to
+    each bar before it."""
+    from tidemark.operators import matching as N
+
+    return N.extra_of_last(bars_bounded(spark, d)).select("code", "date", F.round("extra", 6).alias("extra"))
+
+
 _FUSE = f"""{BOUND}, {RET}, s AS (SELECT code, y AS v, round(CASE WHEN a <= 90 THEN 1 ELSE greatest(0.3, 1 - (a - 90) / 365 * 0.5) END, 6) AS w FROM (SELECT code, y, DATE '2001-12-31' - date AS a FROM r WHERE y IS NOT NULL AND x BETWEEN 0.0 AND 0.05)),
 o AS (SELECT code, v, sum(w) AS w FROM s GROUP BY ALL), c AS (SELECT *, round(sum(w) OVER (PARTITION BY code ORDER BY v ROWS UNBOUNDED PRECEDING), 6) AS run, round(sum(w) OVER (PARTITION BY code), 6) AS al FROM o),
 q AS (SELECT code, """ + ", ".join(f"min(v) FILTER (WHERE run >= {p} * al - 1e-9) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", sum(w) FILTER (WHERE v > 0) / sum(w) AS up, sum(w) AS w FROM c GROUP BY code)"
