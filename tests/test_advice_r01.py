@@ -209,3 +209,11 @@ def test_own_matches_of_every_day(spark):
     mine = got[got["code"] == 7].set_index("date")["side"].map({"BUY": 1, "SELL": -1})
     assert (mine.reindex(one["date"]).fillna(0).to_numpy() == want).all() and np.count_nonzero(want) > 10
     assert isinstance(mine, pd.Series) and "sim_2_extra_distance" in q
+
+
+@needs_tables
+def test_csv_holds_every_code(spark):
+    q = registry.queries()
+    got = q["src_9_reversed_csv_all"](spark, DATA).toPandas().sort_values(["code", "date"], ignore_index=True)
+    want = q["src_8_json_lines"](spark, DATA).toPandas().sort_values(["code", "date"], ignore_index=True)
+    assert got["code"].nunique() == 100 and got.equals(want[list(got.columns)].astype(got.dtypes))

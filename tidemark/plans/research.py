@@ -486,6 +486,20 @@ def src_9_reversed_csv(spark, d):
     return P.reversed_csv(spark, path)
 
 
+@query(_ROUND)
+def src_9_reversed_csv_all(spark, d):
+    """Every code's rows written in that encoding, newest first, with the code as last field, and read again."""
+    from tidemark.sources.tables import shared_dir
+    import uuid
+
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark-csv-{uuid.uuid4().hex}"
+    P.allow_charsets(spark)
+    z = F.lit("0")
+    b = bars_bounded(spark, d).repartition("code").sortWithinPartitions("code", F.desc("date"))
+    b.select(F.col("date").alias("日期"), z.alias("a"), F.lit("名称").alias("名称"), "close", "high", "low", "open", z.alias("b"), z.alias("c"), z.alias("e"), z.alias("f"), "vol", F.col("code").alias("代码")).write.option("header", True).option("encoding", "GBK").csv(path)
+    return P.reversed_csv(spark, path, code=12)
+
+
 @query("SELECT 'ev' || event_id AS code, 'n' || user_id AS name, value AS price FROM events WHERE value IS NOT NULL")
 def src_19_20_24_quotes(spark, d):
     t = ticks(spark, d).where("price is not null")

@@ -47,14 +47,16 @@ def allow_charsets(spark) -> None:
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def reversed_csv(spark, path: str, encoding: str = "GBK") -> DataFrame:
-    """Files with a header, newest first, prices in fields 3 to 6 (close, high, low, open) and volume in field 11."""
+def reversed_csv(spark, path: str, encoding: str = "GBK", code: int | None = None) -> DataFrame:
+    """Files with a header, newest first, prices in fields 3 to 6 (close, high, low, open) and volume in field 11; the
+    code in field `code`, if files hold more than one."""
     allow_charsets(spark)
     raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
     c = raw.columns
     pick = {"date": 0, "close": 3, "high": 4, "low": 5, "open": 6, "vol": 11}
     cast = [F.col(f"`{c[i]}`").try_cast("date" if n == "date" else "double").alias(n) for n, i in pick.items()]
-    return _kept(raw.select(*cast)).select(*ROW)
+    key = [] if code is None else [F.col(f"`{c[code]}`").try_cast("long").alias("code")]
+    return _kept(raw.select(*key, *cast)).select(*["code"] * len(key), *ROW)
 
 
 def quote(payload: Column) -> list[Column]:
