@@ -214,6 +214,6 @@ def test_own_matches_of_every_day(spark):
 @needs_tables
 def test_csv_holds_every_code(spark):
     q = registry.queries()
-    got = q["src_9_reversed_csv_all"](spark, DATA).toPandas().sort_values(["code", "date"], ignore_index=True)
+    got = q["src_9_reversed_csv"](spark, DATA).toPandas().sort_values(["code", "date"], ignore_index=True)
     want = q["src_8_json_lines"](spark, DATA).toPandas().sort_values(["code", "date"], ignore_index=True)
     assert got["code"].nunique() == 100 and got.equals(want[list(got.columns)].astype(got.dtypes))

@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     """Every series on the grid of open days, close in yuan: recorded, interpolated within five days, or missing."""
-    b = common_bars(spark, d).where("code is not null and day is not null")
+    b = common_bars(spark, d).where("code is not null and src is not null and day is not null")
     fine = F.when((F.col("close") > 0) & (F.col("close") < 1e15), F.col("close"))
     one = b.groupBy(*SERIES, "day_no").agg(F.max_by(fine, F.struct("fetched_at", "bar_id")).alias("close"))
     grid = regular_grid(one, SERIES, "day_no", ["close"])
@@ -65,7 +65,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_totals(spark: SparkSession, d: str) -> DataFrame:
     """Sums and averages of close (yuan) and vol (shares) over trailing 7 and 30 calendar days."""
-    b = common_bars(spark, d).where("code is not null and day is not null")
+    b = common_bars(spark, d).where("code is not null and src is not null and day is not null")
     one = b.groupBy(*SERIES, "day").agg(F.max_by(F.struct("close", "vol"), F.struct("fetched_at", "bar_id")).alias("x")).select(*SERIES, "day", "x.close", "x.vol")
     return trailing_totals(one, SERIES, "day", ["close", "vol"]).withColumn("day", iso("day"))
 

@@ -31,7 +31,7 @@ CAL = """
 cal AS (SELECT cast(cal_day AS date) AS cal, max(CASE WHEN is_open THEN cast(cal_day AS date) END) OVER (ORDER BY cal_day ROWS UNBOUNDED PRECEDING) AS day FROM trade_days)"""
 BARS = f"""{code_ctes("nb", "daily_bars", "bar_id, src, date")},
 rb AS (SELECT bar_id, src, nc AS code, raw_code, {day_of("date")} AS rd FROM nb),{CAL},
-b AS (SELECT rb.*, cal.day FROM rb LEFT JOIN cal ON cal.cal = least(rb.rd, (SELECT max(cal) FROM cal)))"""
+b AS (SELECT rb.*, cal.day FROM rb LEFT JOIN cal ON cal.cal = CASE WHEN rb.rd IS NOT NULL THEN least(rb.rd, (SELECT max(cal) FROM cal)) END)"""
 RANGES = "r AS (SELECT src, code, min(day) AS a, max(day) AS z FROM b WHERE code IS NOT NULL AND day IS NOT NULL GROUP BY ALL), s AS (SELECT DISTINCT src, code, day FROM b WHERE code IS NOT NULL AND day IS NOT NULL)"
 STOCKS = f"""{code_ctes("ns", "stocks", "snap_id, industry, tier, mktcap, updated, loaded_at")},
 st AS (SELECT nc AS code, {day_of("updated")} AS day, lower(trim(industry)) AS industry, lower(trim(tier)) AS tier, mktcap, loaded_at, snap_id FROM ns WHERE nc IS NOT NULL)"""

@@ -18,7 +18,7 @@ from tidemark.plans.declare import declare
 from tidemark.plans.indicators import tier_features
 from tidemark.plans.relational import RET, _MET, returns
 from tidemark.sources import formats as P
-from tidemark.sources.tables import cut, table
+from tidemark.sources.tables import cut, shared_path, table
 from tidemark.sources.views import BOUNDED_SQL, FACTORS_SQL, INDEX_SQL, INSTRUMENTS_SQL, bars_bounded, factors, index_close, instruments, ticks
 from tidemark.streaming import ticks as T
 
@@ -472,27 +472,10 @@ def src_10_loose_json(spark, d):
     return P.loose_json(p, "payload", "code")
 
 
-@query(f"{BOUND} SELECT date, open, close, high, low, vol FROM bars WHERE code = 3")
-def src_9_reversed_csv(spark, d):
-    """Written as such a file in its encoding, newest first, and read again."""
-    from tidemark.sources.tables import shared_dir
-    import uuid
-
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark-csv-{uuid.uuid4().hex}"
-    b = bars_bounded(spark, d).where("code = 3")
-    P.allow_charsets(spark)
-    z = F.lit("0")
-    b.orderBy(F.desc("date")).select(F.col("date").alias("日期"), z.alias("a"), F.lit("名称").alias("名称"), "close", "high", "low", "open", z.alias("b"), z.alias("c"), z.alias("e"), z.alias("f"), "vol").write.option("header", True).option("encoding", "GBK").csv(path)
-    return P.reversed_csv(spark, path)
-
-
 @query(_ROUND)
-def src_9_reversed_csv_all(spark, d):
+def src_9_reversed_csv(spark, d):
     """Every code's rows written in that encoding, newest first, with the code as last field, and read again."""
-    from tidemark.sources.tables import shared_dir
-    import uuid
-
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark-csv-{uuid.uuid4().hex}"
+    path = shared_path(spark, "csv")
     P.allow_charsets(spark)
     z = F.lit("0")
     b = bars_bounded(spark, d).repartition("code").sortWithinPartitions("code", F.desc("date"))

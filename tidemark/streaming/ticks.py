@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.tables import shared_dir
+from tidemark.sources.tables import shared_path
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
@@ -50,7 +49,7 @@ def drain(stream: DataFrame, keys: list[str], name: str = "bars") -> DataFrame:
     replaces itself; the result is the newest update of a key. Nothing is gathered on the driver.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    root = shared_path(spark, name)
 
     def upsert(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/part={number}")
