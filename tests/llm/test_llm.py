@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm.queries import QUERIES, SQL
 from tidemark.llm import bpe, packing, truncation
 
 PATH = bpe.VOCABULARIES
@@ -95,12 +96,15 @@ def test_nnls_solves():
     assert (x >= 0).all() and np.allclose(a @ x, [6, 4], atol=1e-4)
 
 
+DATA = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.01")
 BODY = ["The court below held that the lease had lapsed; we agree.", "Counsel for {n} relied on No. {d}, but that case concerned a void deed.", "The sum of £{d} became due on {d} May 2001, as the levy shows.", "Nothing in exhibits {d} suggests that the guarantee remains enforceable."]
 ENDS = ["Order accordingly.", "The appeal is dismissed.", "We would remit the matter to {n}.", "IT IS SO ORDERED", "Costs in the cause"]
 BEHIND = ["", "\n\n(signed) Oduvale, presiding", "\n\n* * *", "\nPage 3 of 3", "\n[…]"]
 
 
 def test_truncation_against_planted_cuts(spark):
+    """Texts that stop within a sentence are found, whatever is behind the break; ones that end with a whole sentence, with
+    or without a known ending, are not."""
     rng = random.Random(6)
     fill = lambda s: s.format(n=rng.choice(["Marrow", "Lorben Quay", "Ickhaven"]), d=rng.randrange(1, 9999))
     rows, cut = [], set()
@@ -108,22 +112,38 @@ def test_truncation_against_planted_cuts(spark):
         t = "\n\n".join(" ".join(fill(rng.choice(BODY)) for _ in range(3)) for _ in range(rng.randrange(1, 4)))
         if k % 10 == 0:
             cut.add(k)
-            whole = t + " " + fill(rng.choice(BODY))
-            at = rng.randrange(len(t) + 1, len(whole)) if k % 20 else len(whole)
-            rows.append((k, whole[:at] + rng.choice([*BEHIND, " [more]"]), "s1"))
+            more = fill(rng.choice(BODY))
+            rows.append((k, t + " " + more[: rng.randrange(2, len(more) - 2)] + rng.choice([*BEHIND, " [more]", "..."]), "s1"))
+        elif k % 10 == 1:
+            rows.append((k, t + rng.choice(BEHIND), "s2"))
         else:
-            rows.append((k, t + "\n\n" + fill(rng.choice(ENDS)) + rng.choice(BEHIND), "s2"))
+            rows.append((k, t + rng.choice(["\n\n", " "]) + fill(rng.choice(ENDS)) + rng.choice(BEHIND), "s2"))
     rows += [(9001, None, "s1"), (9002, "", "s1"), (9003, " \n ", "s1"), (9004, "* * *", "s1"), (0, rows[0][1], "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
     ends = truncation.endings(df, "doc_id", "text", ["source"]).cache()
-    got = {r.doc_id for r in truncation.truncated(ends, "doc_id", ["source"]).where("cut").collect()}
-    assert not got - cut
-    assert len(cut - got) <= 0.03 * len(cut)
+    judged = truncation.truncated(ends, "doc_id", ["source"]).collect()
+    got = {r.doc_id for r in judged if r.cut}
+    assert len(got - cut) <= 0.02 * len(cut)
+    assert len(cut - got) <= 0.04 * len(cut)
+    assert len(judged) == 1502 and not {r.doc_id for r in judged} & {9001, 9002, 9003}
     assert truncation.truncated(ends.limit(0), "doc_id", ["source"]).count() == 0
     df.unpersist()
 
 
-def test_texts_of_nothing_but_trailers_are_not_judged(spark):
-    df = spark.createDataFrame([(1, "\n* * *\n[…]"), (2, "…"), (3, "x" * 20000)], "doc_id long, text string")
-    got = {r.doc_id: r.sents for r in truncation.endings(df, "doc_id", "text", []).collect()}
-    assert got[1] == [] and got[2] == [] and got[3] == ["x" * 20000]
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
+    plain = lambda df: sorted(map(str, df[sorted(want.columns)].itertuples(index=False, name=None)))
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
+def test_texts_of_nothing_but_blanks_and_marks(spark):
+    """A blank text has no line; a text of one very long word, and one of marks nobody knows, are judged as whole."""
+    df = spark.createDataFrame([(1, "\n \t\n"), (2, "…"), (3, "x" * 20000), (4, None)], "doc_id long, text string")
+    ends = truncation.endings(df, "doc_id", "text", []).cache()
+    assert {r.doc_id: r.lines for r in ends.collect()} == {1: [], 2: ["…"], 3: ["x" * 20000]}
+    assert {r.doc_id for r in truncation.truncated(ends, "doc_id", []).where("not cut").collect()} == {2, 3}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import truncation_sql
 from tidemark.llm.bpe import token_counts, token_ids
 from tidemark.llm.packing import pack
 from tidemark.llm.truncation import endings, truncated
@@ -51,5 +52,5 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p8_fill, p9_found, p9_report)}
-#: None of these can be said in SQL on whole tables; see tests/llm for their brute-force checks.
-SQL: dict[str, str] = {}
+#: p7 and p8 can't be said in SQL; see tests/llm for their brute-force checks.
+SQL: dict[str, str] = truncation_sql.SQL
