@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.units import day_levels, fine, full_feeds, in_blocks, in_series, noted_bars, numbered
-from tidemark.sources.tables import cut, table
+from tidemark.operators.units import day_levels, expected_bars, fine, in_blocks, in_series, numbered
+from tidemark.sources.tables import cut
 
 PRICES = ("open", "high", "low", "close")
 TIMES = 12.0
@@ -31,32 +31,39 @@ def impossible(open_: str = "open", high: str = "high", low: str = "low", close:
     return out
 
 
-def robust_pca(m: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def robust_pca(m: np.ndarray, rounds: int = 25, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """m as low-rank plus sparse (principal component pursuit by augmented Lagrangian), m with few columns.
 
-    The singular values come from the small Gram matrix, so a round is linear in the rows.
+    which: the number of the matrix each row belongs to, ascending from 0; every matrix is split on its own, all of them
+    side by side. The singular values come from the small Gram matrices, so a round is linear in the rows.
     """
     n, k = m.shape
     if not n:
         return m, m
-    lam = 1 / np.sqrt(max(n, k))
-    norm = np.sqrt(max(np.linalg.eigvalsh(m.T @ m)[-1], 1e-30))
-    y = m / max(norm, np.abs(m).max() / lam)
-    mu, s = 1.25 / norm, np.zeros_like(m)
+    which = np.zeros(n, int) if which is None else which
+    size = np.bincount(which)
+    at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    a = np.zeros((len(size), size.max(), k))
+    a[which, at] = m
+    one = lambda x: x[:, None, None]
+    lam = 1 / np.sqrt(np.maximum(size, k))
+    norm = np.sqrt(np.maximum(np.linalg.eigvalsh(a.transpose(0, 2, 1) @ a)[:, -1], 1e-30))
+    y = a / one(np.maximum(np.maximum(norm, np.abs(a).max(axis=(1, 2)) / lam), 1e-30))
+    mu, s = 1.25 / norm, np.zeros_like(a)
     low = s
     for _ in range(rounds):
-        x = m - s + y / mu
-        val, vec = np.linalg.eigh(x.T @ x)
-        sv = np.sqrt(np.maximum(val, 1e-30))
-        low = x @ ((vec * np.maximum(1 - 1 / (mu * sv), 0)) @ vec.T)
-        r = m - low + y / mu
-        s = np.sign(r) * np.maximum(np.abs(r) - lam / mu, 0)
-        left = m - low - s
-        y = y + mu * left
-        mu *= 1.5
+        x = a - s + y / one(mu)
+        val, vec = np.linalg.eigh(x.transpose(0, 2, 1) @ x)
+        keep = np.maximum(1 - 1 / (mu[:, None] * np.sqrt(np.maximum(val, 1e-30))), 0)
+        low = x @ ((vec * keep[:, None, :]) @ vec.transpose(0, 2, 1))
+        r = a - low + y / one(mu)
+        s = np.sign(r) * np.maximum(np.abs(r) - one(lam / mu), 0)
+        left = a - low - s
+        y = y + one(mu) * left
+        mu = mu * 1.5
         if np.abs(left).max() < 1e-3:
             break
-    return low, s
+    return low[which, at], s[which, at]
 
 
 def _near(ref: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +127,7 @@ def judge_days(series: np.ndarray, ref: np.ndarray, hi: np.ndarray, lo: np.ndarr
     pool = np.column_stack([around[see], own[see, 0]])
     base = np.nanmedian(pool, axis=1, keepdims=True)
     m = np.nan_to_num((np.column_stack([around[see], own[see]]) - base) / med[see, None])
-    low, sparse = robust_pca(m)
+    low, sparse = robust_pca(m, which=np.unique(series[see], return_inverse=True)[1])  # a matrix for each series
     mine = slice(2 * REACH, None)
     odd = see[(np.abs(sparse[:, mine]).max(axis=1) > SUSPECT) | (np.abs(low[:, mine]).max(axis=1) > SUSPECT)]
     # A usual day between odd ones lies off from both: so days near an odd one are tested as well.
@@ -200,15 +207,14 @@ def _extremes(df: DataFrame) -> DataFrame:
 def spike_rows(spark: SparkSession, d: str) -> DataFrame:
     """bar_id and why of every stored row that is impossible, stuck or off the usual behaviour of its series.
 
-    Per source, profiles of days are split by robust principal components into usual behaviour and sparse spikes; the
+    Per series, profiles of days are split by robust principal components into usual behaviour and sparse spikes; the
     days that stand out are then tested exactly. Sources are handled in blocks of whole series, so no source is too
-    large. Rows of the same day and unit are summed up before; only where such a group has several rows are they
+    large, and which series share a block plays no part. Rows of the same day and unit are summed up before; only where such a group has several rows are they
     looked up again. Rows outside of series are only tested for impossible prices.
     """
-    feeds = cut(full_feeds(spark, d), "feeds")
-    rows = _extremes(noted_bars(spark, d, "bar_id", *PRICES, "vol", feeds=feeds)).where(in_series())
+    noted = expected_bars(spark, d, "bar_id", *PRICES, "fetched_at", bad=impossible())
+    rows = _extremes(noted).where(in_series())
     sound = fine("close") & (F.col("close") > 0) & ~F.coalesce((F.col("high") < F.col("close")) | (F.col("low") > F.col("close")), F.lit(False))
-    at = F.struct("fetched_at", "bar_id")
     variants = rows.groupBy("src", "code", "day_no", "own_p").agg(
         F.max("exp_p").alias("exp_p"),
         F.max(F.when(fine("close"), F.log10(F.abs("close")))).cast("float").alias("lp"),
@@ -218,11 +224,11 @@ def spike_rows(spark: SparkSession, d: str) -> DataFrame:
         F.max(F.struct("fetched_at", "bar_id", F.coalesce(F.col("vol") > 0, F.lit(False)).alias("t"))).alias("l"),
         F.count("*").alias("n"),
     )
-    flat = variants.select("src", "code", "day_no", "own_p", F.coalesce("exp_p", F.lit(0)).alias("exp_p"), "lp", "hi", "lo", F.col("r.close").alias("ref"), F.coalesce("r.fetched_at", F.lit(0).cast("timestamp")).alias("ref_at"), F.coalesce("r.bar_id", F.lit(0)).alias("ref_bar"), F.coalesce("l.fetched_at", F.lit(0).cast("timestamp")).alias("last_at"), F.col("l.t").alias("traded"), "n", F.col("l.bar_id").alias("bar_id"))
-    found = cut(in_blocks(flat).groupBy("src", "block").applyInPandas(_spikes, FOUND), "spikes")
+    flat = variants.select("src", "code", "day_no", "own_p", "exp_p", "lp", "hi", "lo", F.col("r.close").alias("ref"), F.coalesce("r.fetched_at", F.lit(0).cast("timestamp")).alias("ref_at"), F.coalesce("r.bar_id", F.lit(0)).alias("ref_bar"), F.coalesce("l.fetched_at", F.lit(0).cast("timestamp")).alias("last_at"), F.col("l.t").alias("traded"), "n", F.col("l.bar_id").alias("bar_id"))
+    found = cut(in_blocks(flat, rows).groupBy("src", "block").applyInPandas(_spikes, FOUND), "spikes")
     single = found.where("n = 1").select("bar_id", F.when(F.col("stuck"), "stuck").otherwise("spike").alias("why"))
     f = found.where("n > 1").select(F.col("src").alias("f_src"), F.col("code").alias("f_code"), F.col("day_no").alias("f_day"), F.col("own_p").alias("f_own"), "up", "dn", "stuck")
     on = (F.col("src") == F.col("f_src")) & (F.col("code") == F.col("f_code")) & (F.col("day_no") == F.col("f_day")) & F.col("own_p").eqNullSafe(F.col("f_own"))
     several = rows.join(f, on).where("stuck or hi > up * (1 + 1e-12) or lo < dn * (1 - 1e-12)").select("bar_id", F.when(F.col("stuck"), "stuck").otherwise("spike").alias("why"))
-    faulty = table(spark, d, "daily_bars").where(impossible()).select("bar_id", F.lit("impossible").alias("why"))
+    faulty = noted.where("bad").select("bar_id", F.lit("impossible").alias("why"))
     return faulty.union(single).union(several).groupBy("bar_id").agg(F.min("why").alias("why"))

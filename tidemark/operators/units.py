@@ -157,13 +157,16 @@ def feed_periods(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("until", F.lead("per").over(W.partitionBy("f_src").orderBy("per")))
 
 
-def noted_bars(spark: SparkSession, d: str, *columns: str, feeds: DataFrame | None = None, how: str = "left") -> DataFrame:
-    """bars with own_p, own_v (levels by the row's own note) and per, exp_p, exp_v (feed's period and its levels)."""
+def noted_bars(spark: SparkSession, d: str, *columns: str, **more: Column) -> DataFrame:
+    """bars with own_p, own_v (levels by the row's own note) and per, exp_p, exp_v (feed's period and its levels).
+
+    Codes, dates and notes are read here and nowhere else: write the result (`cut`) and derive all from it.
+    """
     need = list(dict.fromkeys(["src", "note", "fetched_at", *columns]))
-    b = bars(spark, d, *need).withColumns({"own_p": level(price_unit(F.col("note")), PRICE_LEVELS), "own_v": level(volume_unit(F.col("note")), VOLUME_LEVELS), "at": F.coalesce("day", F.to_date("fetched_at"))})
-    f = feed_periods(spark, d) if feeds is None else feeds
+    b = bars(spark, d, *[c for c in need if c not in ("day", "day_no")]).withColumns({"own_p": level(price_unit(F.col("note")), PRICE_LEVELS), "own_v": level(volume_unit(F.col("note")), VOLUME_LEVELS), "at": F.coalesce("day", F.to_date("fetched_at")), **more})
+    f = feed_periods(spark, d)
     on = (F.col("src") == F.col("f_src")) & (F.col("at") >= F.col("per")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
-    return b.join(f, on, how).drop("f_src", "until", "note", "at")
+    return b.join(f, on, "left").select("src", "code", "day_no", "own_p", "own_v", "per", "exp_p", "exp_v", *[c for c in dict.fromkeys([*columns, *more]) if c not in ("src", "code", "day_no")])
 
 
 def _nearest(x: Column, levels: dict[str, int]) -> Column:
@@ -171,20 +174,18 @@ def _nearest(x: Column, levels: dict[str, int]) -> Column:
     return F.when(x.isNotNull(), F.array_min(F.transform(F.array(*[F.lit(v) for v in sorted(levels.values())]), lambda v: F.struct(F.abs(x - v).alias("far"), v.alias("v"))))["v"])
 
 
-def feed_levels(spark: SparkSession, d: str) -> DataFrame:
+def feed_levels(noted: DataFrame) -> DataFrame:
     """per feed period whose note is silent on price or volume: lev_p, lev_v as the values show them.
 
     Codes that several feeds record are compared day by day with the median of the feeds whose notes speak; the level
-    most days agree on is the feed's. Null where nothing can be compared.
+    most days agree on is the feed's. Null where nothing can be compared. noted: written rows of noted_bars.
     """
-    feeds = feed_periods(spark, d)
-    mute = feeds.where("exp_p is null or exp_v is null")
-    cols = ["close", "vol"]
     logs = {"lp": F.when(F.col("own_p").isNull() & fine("close"), F.log10(F.abs("close"))), "lv": F.when(F.col("own_v").isNull() & fine("vol"), F.log10(F.abs("vol")))}
-    part = lambda f: noted_bars(spark, d, *cols, feeds=f, how="inner").where("code is not null and day_no is not null").withColumns(logs).select("src", "code", "day_no", "per", "exp_p", "exp_v", "lp", "lv")
-    theirs = part(mute)
+    rows = noted.where("per is not null and code is not null and day_no is not null").select("src", "code", "day_no", "per", "exp_p", "exp_v", "close", "vol", "own_p", "own_v")
+    part = lambda some: rows.where(some).withColumns(logs).drop("close", "vol", "own_p", "own_v")
+    theirs = part("exp_p is null or exp_v is null")
     shared = theirs.select("code").distinct()
-    spoken = part(feeds.where("exp_p is not null or exp_v is not null")).join(shared, "code", "left_semi")
+    spoken = part("exp_p is not null or exp_v is not null").join(shared, "code", "left_semi")
     known = spoken.groupBy("code", "day_no").agg(F.percentile_approx(F.col("lp") - F.col("exp_p"), 0.5).alias("cp"), F.percentile_approx(F.col("lv") - F.col("exp_v"), 0.5).alias("cv"))
     votes = theirs.join(known, ["code", "day_no"]).select("src", "per", F.when(F.col("exp_p").isNull(), _nearest(F.col("lp") - F.col("cp"), PRICE_LEVELS)).alias("vp"), F.when(F.col("exp_v").isNull(), _nearest(F.col("lv") - F.col("cv"), VOLUME_LEVELS)).alias("vv"))
     count = [F.sum((F.col("vp") == v).cast("int")).alias(f"p{i}") for i, v in enumerate(PRICE_LEVELS.values())] + [F.sum((F.col("vv") == v).cast("int")).alias(f"v{i}") for i, v in enumerate(VOLUME_LEVELS.values())]
@@ -193,11 +194,14 @@ def feed_levels(spark: SparkSession, d: str) -> DataFrame:
     return best.select("m_src", "m_per", F.when(F.col("p.n") > 0, F.col("p.v")).alias("lev_p"), F.when(F.col("v.n") > 0, F.col("v.v")).alias("lev_v"))
 
 
-def full_feeds(spark: SparkSession, d: str) -> DataFrame:
-    """feed_periods with the silent notes' levels filled: from values, else the canonical unit."""
-    f, m = feed_periods(spark, d), feed_levels(spark, d)
-    j = f.join(m, (F.col("f_src") == F.col("m_src")) & (F.col("per") == F.col("m_per")), "left")
-    return j.select("f_src", "per", F.coalesce("exp_p", "lev_p", F.lit(0)).alias("exp_p"), F.coalesce("exp_v", "lev_v", F.lit(0)).alias("exp_v"), "until")
+def expected_bars(spark: SparkSession, d: str, *columns: str, **more: Column) -> DataFrame:
+    """noted_bars, written once, with the silent notes' levels filled: from values, else the canonical unit."""
+    from tidemark.sources.tables import cut
+
+    noted = cut(noted_bars(spark, d, *dict.fromkeys(["close", "vol", *columns]), **more), "noted")
+    m = cut(feed_levels(noted), "feeds")
+    j = noted.join(m, (F.col("src") == F.col("m_src")) & (F.col("per") == F.col("m_per")), "left")
+    return j.withColumns({"exp_p": F.coalesce("exp_p", "lev_p", F.lit(0)), "exp_v": F.coalesce("exp_v", "lev_v", F.lit(0))}).drop("m_src", "m_per", "lev_p", "lev_v", "per")
 
 
 # ---- bars: what the values of a series say ---------------------------------------------------------------------
@@ -277,9 +281,12 @@ def block_of(code: Column, blocks: Column) -> Column:
 SERIES_IN_BLOCK = 64
 
 
-def in_blocks(days: DataFrame) -> DataFrame:
-    """Adds `block`: a source's series are spread over as many blocks as keep each at about SERIES_IN_BLOCK series."""
-    n = days.groupBy("src").agg(F.ceil(F.approx_count_distinct("code") / SERIES_IN_BLOCK).alias("_n")).withColumnRenamed("src", "_s")
+def in_blocks(days: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds `block`: a source's series are spread over as many blocks as keep each at about SERIES_IN_BLOCK series.
+
+    rows: what is cheap to read and has the src and code of all days.
+    """
+    n = rows.groupBy("src").agg(F.ceil(F.approx_count_distinct("code") / SERIES_IN_BLOCK).alias("_n")).withColumnRenamed("src", "_s")
     return days.join(n, F.col("src") == F.col("_s")).withColumn("block", block_of(F.col("code"), F.greatest("_n", F.lit(1)))).drop("_n", "_s")
 
 
@@ -294,8 +301,10 @@ def _segments(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = numbered(pdf)
     lev = day_levels(pdf)
     s, p, v, day = pdf["series"].to_numpy(), lev["lev_p"].to_numpy(), lev["lev_v"].to_numpy(), pdf["day_no"].to_numpy()
-    new = np.flatnonzero((np.diff(s, prepend=-1) != 0) | (np.diff(p, prepend=99) != 0) | (np.diff(v, prepend=99) != 0))
+    other = (p != pdf["exp_p"].to_numpy()) | (v != pdf["exp_v"].to_numpy())
+    new = np.flatnonzero((np.diff(s, prepend=-1) != 0) | (np.diff(p, prepend=99) != 0) | (np.diff(v, prepend=99) != 0) | (np.diff(other.astype(int), prepend=-1) != 0))
     end = np.append(new[1:], len(s)) - 1
+    new, end = new[other[new]], end[other[new]]
     return pd.DataFrame({"src": pdf["src"].to_numpy()[new], "code": pdf["code"].to_numpy()[new], "a": day[new], "z": day[end], "lev_p": p[new], "lev_v": v[new]})
 
 
@@ -314,8 +323,9 @@ def in_series() -> Column:
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """Stretches of days of a series in one unit: src, code, a, z (day numbers), lev_p, lev_v."""
-    days = in_blocks(series_days(rows.where(in_series())).withColumns({c: F.col(c).cast("float") for c in ("lp", "lpn", "lv", "lvn")} | {c: F.coalesce(c, F.lit(0)).cast("int") for c in ("exp_p", "exp_v")}))
+    """Stretches of days of a series in units other than expected: src, code, a, z (day numbers), lev_p, lev_v."""
+    own = rows.where(in_series())
+    days = in_blocks(series_days(own).withColumns({c: F.col(c).cast("float") for c in ("lp", "lpn", "lv", "lvn")}), own)
     return days.groupBy("src", "block").applyInPandas(_segments, SEGMENT)
 
 
@@ -323,12 +333,10 @@ def levelled(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """bars with lev_p and lev_v, the levels their values are in by all that is known."""
     from tidemark.sources.tables import cut
 
-    feeds = cut(full_feeds(spark, d), "feeds")
-    seg = cut(segments(noted_bars(spark, d, "close", "vol", feeds=feeds)), "segments")
-    rows = noted_bars(spark, d, *dict.fromkeys(["bar_id", "close", "vol", *columns]), feeds=feeds).drop("per")
-    seg = seg.select(F.col("src").alias("g_src"), F.col("code").alias("g_code"), "a", "z", "lev_p", "lev_v")
+    rows = expected_bars(spark, d, "bar_id", *columns)
+    seg = cut(segments(rows), "segments").select(F.col("src").alias("g_src"), F.col("code").alias("g_code"), "a", "z", "lev_p", "lev_v")
     on = (F.col("src") == F.col("g_src")) & (F.col("code") == F.col("g_code")) & F.col("day_no").between(F.col("a"), F.col("z"))
-    lev = lambda q: F.coalesce(f"own_{q}", f"lev_{q}", f"exp_{q}", F.lit(0))
+    lev = lambda q: F.coalesce(f"own_{q}", f"lev_{q}", f"exp_{q}")
     return rows.join(seg, on, "left").withColumns({"lev_p": lev("p"), "lev_v": lev("v")}).drop("g_src", "g_code", "a", "z", "own_p", "own_v", "exp_p", "exp_v")
 
 
@@ -338,7 +346,7 @@ def common_bars(spark: SparkSession, d: str) -> DataFrame:
     Null, NaN and infinite values stay as they are. A bar outside of any series has what its own note, else its
     feed's note for its day (for its fetching day where it has none) says, else the common unit.
     """
-    b = levelled(spark, d, "open", "high", "low", "fetched_at").withColumns({"_pu": unit_at(F.col("lev_p"), PRICE_LEVELS), "_vu": unit_at(F.col("lev_v"), VOLUME_LEVELS)})
+    b = levelled(spark, d, "day", "open", "high", "low", "fetched_at").withColumns({"_pu": unit_at(F.col("lev_p"), PRICE_LEVELS), "_vu": unit_at(F.col("lev_v"), VOLUME_LEVELS)})
     c = conversions(spark)
     out = convert(convert(b, "_pu", ["open", "high", "low", "close"], c), "_vu", ["vol"], c)
     return out.select("bar_id", "src", "code", "day", "day_no", "fetched_at", "open", "high", "low", "close", "vol")
