@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import spikes, units
 from tidemark.operators.grid import regular_grid
 from tidemark.operators.history import latest_snapshots, versions
-from tidemark.operators.orphans import bloom, orphans, probe
+from tidemark.operators.orphans import bloom, orphans, probe, words_for
 from tidemark.operators.trailing import trailing_totals
 
 D = dt.date
@@ -91,13 +91,23 @@ def test_orphans(spark):
     assert {r.why for r in orphans(kids, "c", "d", par.limit(0), ["id"]).collect()} == {"no such key"}
 
 
+def test_orphans_of_a_heavy_key(spark):
+    day = D(2024, 1, 5)
+    data = [(i, "hot" if i % 3 else f"k{i}", D(2024, 1, 1 + i % 9), True) for i in range(900)]
+    kids = spark.createDataFrame(data, "id int, c string, d date, has_ref boolean")
+    par = spark.createDataFrame([("hot", day, None, True)] + [(f"k{i}", D(2023, 1, 1), day, True) for i in range(0, 900, 6)], "c string, since date, upto date, known boolean")
+    want = sorted((i, "not yet" if c == "hot" else "closed" if i % 6 == 0 else "no such key") for i, c, d, _ in data if (c == "hot" and d < day) or (c != "hot" and (i % 6 or d > day)))
+    assert rows(orphans(kids, "c", "d", par, ["id"]).select("id", "why")) == want
+
+
 def test_bloom_has_no_false_negative(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) as c")
     f = bloom(keys.union(keys), "c", 512)
     assert f.count() <= 512
     assert probe(keys, "c", f, 512).where("not maybe").count() == 0
-    other = probe(spark.range(5000).selectExpr("concat('o', id) as c"), "c", bloom(keys, "c"))
-    assert other.where("maybe").count() < 500  # most strangers are proven to be
+    words = words_for(keys, "c")
+    other = probe(spark.range(5000).selectExpr("concat('o', id) as c"), "c", bloom(keys, "c", words), words)
+    assert other.where("maybe").count() < 100  # most strangers are proven to be
 
 
 def test_compositions_and_cycles():
