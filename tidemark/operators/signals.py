@@ -26,6 +26,8 @@ class Risk:
 # The three risk settings.
 PRESETS = {"conservative": Risk(1.5, 1.01, 0.96, 3, 8), "balanced": Risk(1.5, 1.02, 0.94, 2, 5), "aggressive": Risk(2.5, 1.05, 0.90, 1, 3)}
 SELL_AT = -2
+# The weights of the rules' points in the weighted sum.
+WEIGHTS = {"macd": 1.1, "kdj": 0.9, "rsi": 0.9, "volume": 1.0, "trend": 1.0, "boll": 0.8, "adx": 0.8}
 
 
 def side(up: Column, down: Column) -> Column:
@@ -129,8 +131,8 @@ def drop_repeats(events: DataFrame, keys: list[str], order: str, what: str) -> D
     return events.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(what))).drop("_b")
 
 
-def score(sig: DataFrame) -> DataFrame:
-    """Adds `score`, the integer sum of the rules' points, null in the warm-up of MACD."""
+def score(sig: DataFrame, weights: dict[str, float] | None = None, name: str = "score") -> DataFrame:
+    """Adds `score`, the sum of the rules' points, null in the warm-up of MACD: an integer, or a weighted sum."""
     w = I.seq()
     c, p = F.col("close"), F.lag("close").over(w)
     two = lambda s, more, less: F.when(F.col(s) == "BUY", 2).when(F.col(s) == "SELL", -2).when(more, 1).when(less, -1).otherwise(0)
@@ -144,9 +146,10 @@ def score(sig: DataFrame) -> DataFrame:
     trend = F.when((c > m) & (m > mp), 1).when((c < m) & (m < mp), -1).otherwise(0)
     boll = F.when(c < F.col("b_low"), 1).when(c > F.col("b_up"), -1).otherwise(0)
     strong = F.when(F.col("adx") >= 20, F.when(F.col("pdi") > F.col("mdi"), 1).otherwise(-1)).otherwise(0)
-    total = macd + kdj + rsi + volume + trend + boll + strong
+    points = {"macd": macd, "kdj": kdj, "rsi": rsi, "volume": volume, "trend": trend, "boll": boll, "adx": strong}
+    total = sum((c if weights is None else c * float(weights[k]) for k, c in points.items()), F.lit(0))
     ready = F.col("dea").isNotNull() & F.lag("dea").over(w).isNotNull()
-    return sig.withColumn("score", F.when(ready, total))
+    return sig.withColumn(name, F.when(ready, total))
 
 
 def alternate(value: np.ndarray, buy: np.ndarray, sell: int, cooldown: int) -> np.ndarray:

@@ -32,6 +32,30 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, poi
     return c.groupBy(*by).agg(*[F.min(F.when(F.col("_run") >= p * F.col("_all") - 1e-12, F.col(value))).alias(n) for n, p in points.items()])
 
 
+def confidence(samples: DataFrame, by: list[str], score: str, weight: str, level: str, least: int = 3) -> DataFrame:
+    """by, n, levels, score, confidence of samples with a distance, a weight and a level (1 to 3): fewer than `least` or
+    twice as many, scattered distances, few weights above 1 and levels without a sample each take something off 1."""
+    g = samples.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop(score).alias("_sd"), F.avg((F.col(weight) > 1).cast("int")).alias("_good"), F.count_distinct(level).alias("levels"))
+    many = F.when(F.col("n") < least, 0.5).when(F.col("n") < 2 * least, 0.8).otherwise(1.0)
+    alike = F.when(F.col("n") > 1, F.greatest(F.lit(0.6), 1 - F.least(F.col("_sd") / 2, F.lit(0.4)))).otherwise(1.0)
+    whole = F.when(F.col("levels") == 3, 1.0).when(F.col("levels") == 2, 0.9).otherwise(0.7)
+    c = many * alike * (0.7 + 0.3 * F.col("_good")) * whole
+    return g.withColumn("_c", c).select(*by, "n", "levels", F.round(F.col("_c") + 1e-9, 6).alias("score"), F.when(F.col("_c") >= 0.6, "high").when(F.col("_c") >= 0.3, "mid").otherwise("low").alias("confidence"))
+
+
+def stratified(samples: DataFrame, by: list[str], tests: dict[str, str], least: int) -> DataFrame:
+    """The samples that pass the first test (name -> boolean column) that at least `least` of a group pass, with the name
+    as `used`; all of a group, as 'all', where no test has so many."""
+    n = samples.groupBy(*by).agg(*[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(tests.values())])
+    used = F.lit("all")
+    for i, name in reversed(list(enumerate(tests))):
+        used = F.when(F.col(f"_n{i}") >= least, name).otherwise(used)
+    passes = F.col("used") == "all"
+    for name, c in tests.items():
+        passes = passes | ((F.col("used") == name) & F.col(c))
+    return samples.join(n.select(*by, used.alias("used")), by).where(passes)
+
+
 def _windows(r: np.ndarray, w: int) -> np.ndarray:
     v = np.lib.stride_tricks.sliding_window_view(r, w)
     sd = v.std(axis=1, keepdims=True)

@@ -111,10 +111,6 @@ def sig_2_kdj(spark, d):
     return signals(spark, d).where("sig_kdj is not null").select("code", "date", F.col("sig_kdj").alias("side"))
 
 
-def sig_3_rsi(spark, d):
-    return signals(spark, d).where("sig_rsi is not null").select("code", "date", F.col("sig_rsi").alias("side"))
-
-
 def _win(n: int, f: str = "avg") -> str:
     return f"CASE WHEN count(close) OVER (w ROWS {n - 1} PRECEDING) >= {n} THEN {f}(close) OVER (w ROWS {n - 1} PRECEDING) END"
 
@@ -205,10 +201,6 @@ def sig_10_12_composite(spark, d):
     return S.composite(_scored(spark, d), r.where("r < -0.015"))
 
 
-def sig_11_daily_scores(spark, d):
-    return _scored(spark, d).select("code", "date", "score").where("score is not null")
-
-
 def sig_13_14_band_router(spark, d):
     """Composite events where the score of a code's fit is at least 60, else moving-average trend events."""
     from tidemark.plans.indicators import ind_20_band_fit
@@ -247,5 +239,5 @@ def sig_20_udf_6_registry(spark, d):
     return S.registry(S.with_industry(_scored(spark, d), sector(bars_bounded(spark, d), inst), inst))
 
 
-for _f in (ind_9_adx, ind_4_15_bottom_fishing, ind_17_19_chips, ind_18_chip_snapshots, sig_3_rsi, sig_8_chip_peak, sig_10_12_composite, sig_11_daily_scores, sig_13_14_band_router, sig_15_16_daily_picks, sig_17_verdict, sig_18_19_scan, sig_20_udf_6_registry):
+for _f in (ind_9_adx, ind_4_15_bottom_fishing, ind_17_19_chips, ind_18_chip_snapshots, sig_8_chip_peak, sig_10_12_composite, sig_13_14_band_router, sig_15_16_daily_picks, sig_17_verdict, sig_18_19_scan, sig_20_udf_6_registry):
     QUERIES[_f.__name__] = _f

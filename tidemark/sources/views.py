@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.sources.tables import table
 
@@ -27,19 +28,32 @@ def instruments(spark: SparkSession, d: str) -> DataFrame:
     """code, name, industry, board, mktcap, tier; tiers by the sorted positions n//3 and 2n//3 of mktcap."""
     s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     base = s.select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("n_name").alias("industry"), F.col("r_name").alias("board"), F.col("s_acctbal").alias("mktcap"))
-    lo, hi = tercile_bounds(base, "mktcap")
-    return base.withColumn("tier", F.when(F.col("mktcap") >= hi, "large").when(F.col("mktcap") >= lo, "mid").otherwise("small"))
-
-
-def tercile_bounds(df: DataFrame, value: str) -> tuple[float, float]:
-    """The values at positions n//3 and 2n//3 of the sorted non-null values (two numbers, whatever the size)."""
-    n = df.where(F.col(value).isNotNull()).count()
-    if not n:
-        return float("inf"), float("inf")
-    at = [(k * n // 3) / max(1, n - 1) for k in (1, 2)]
-    row = df.agg(F.percentile(value, F.array(*[F.lit(min(1.0, x)) for x in at])).alias("p")).first()
-    near = [df.where(F.col(value) >= p - 1e-6 * max(1.0, abs(p))).agg(F.min(value)).first()[0] for p in row[0]]
-    return near[0], near[1]
+    return tercile(base, "mktcap")
+
+
+#: Rows are ranked in this many ranges of values, each in its own task.
+RANGES = 64
+
+
+def tercile(df: DataFrame, value: str) -> DataFrame:
+    """df with `tier`: large and mid from the values at the sorted positions 2n//3 and n//3 on, else small.
+
+    Null and NaN have no position and are small. The positions are found in ranges of values: the ranges are counted, and
+    only the two that hold the positions are sorted, so no task sees all values. Bounds are computed within the plan.
+    """
+    some = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).cast("double").alias("v"))
+    ends = some.agg(F.min("v").alias("a"), F.max("v").alias("z")).select(F.struct("a", "z")).scalar()
+    at = lambda x: F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), F.coalesce(F.floor(F.try_divide(x - ends["a"], ends["z"] - ends["a"]) * RANGES).cast("int"), F.lit(0))))
+    placed = some.withColumn("r", at(F.col("v")))
+    sizes = placed.groupBy("r").agg(F.count("*").alias("c"))
+    w = W.orderBy("r")  # at most RANGES rows
+    n = F.sum("c").over(W.partitionBy())
+    runs = sizes.select("r", (F.sum("c").over(w) - F.col("c")).alias("since"), F.sum("c").over(w).alias("upto"), n.alias("n"))
+    wanted = runs.select("r", "since", "upto", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.expr("n div 3").alias("p")), F.struct(F.lit(2).alias("k"), F.expr("2 * n div 3").alias("p")))).alias("x")).where("x.p >= since and x.p < upto").select("r", "x.k", (F.col("x.p") - F.col("since") + 1).alias("nth"))
+    inner = placed.join(F.broadcast(wanted), "r").withColumn("i", F.row_number().over(W.partitionBy("k").orderBy("v"))).where("i = nth")
+    lo, hi = (inner.where(F.col("k") == k).select("v").scalar() for k in (1, 2))
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    return df.withColumn("tier", F.when(v >= hi, "large").when(v >= lo, "mid").otherwise("small"))
 
 
 def factors(spark: SparkSession, d: str) -> DataFrame:
