@@ -137,7 +137,7 @@ def test_all_subsets_of_all_factors(spark, monkeypatch):
 
     seen = {}
     monkeypatch.setattr(L, "all_subsets", lambda spark, s, k: seen.update(k=k) or spark.range(1).selectExpr("id mask", "1 size", "0d train_ic", "0d train_ir", "0d val_ic", "0d val_ir"))
-    registry.queries()["ml_2_4_all_subsets"](spark, DATA)
+    registry.queries()["ml_4_all_subsets"](spark, DATA)
     assert seen["k"] == len(A.NAMES) == 21
 
 

@@ -75,9 +75,23 @@ def decile_portfolio(panel: DataFrame, x: str, y: str, day: str, code: str, tent
     return a.join(b, day).select(day, "long_ret", (F.col("long_ret") - F.col("_short")).alias("ls_ret"), "turnover", (F.col("long_ret") - cost * F.col("turnover")).alias("net"))
 
 
+#: Values are ranked in this many ranges with about as many values in each.
+RANGES = 64
+
+
 def bh_fdr(tests: DataFrame, p: str, q: float) -> DataFrame:
-    """Adds `passed`: p at most the largest p with p <= q rank / n. Tests are hypotheses, a small table."""
-    w = W.orderBy(p)
-    all_ = tests.withColumns({"_k": F.row_number().over(w), "_n": F.count("*").over(W.partitionBy())})
-    bound = F.max(F.when(F.col(p) <= q * F.col("_k") / F.col("_n"), F.col(p))).over(W.partitionBy())
-    return all_.withColumn("passed", F.coalesce(F.col(p) <= bound, F.lit(False))).drop("_k", "_n")
+    """Adds `passed`: p at most the largest p with p <= q rank / n, rank being the number of tests with a p no larger.
+
+    A test without a p counts among the n and doesn't pass. Equal values are counted first, then ranked within ranges
+    between quantiles, so no task sees all tests; only the bound, one number, goes back to them.
+    """
+    one = tests.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    cuts = one.agg(F.percentile_approx("_p", [i / RANGES for i in range(1, RANGES)], 1000).alias("x")).scalar()
+    placed = one.withColumn("_x", cuts).withColumn("_r", F.size(F.filter("_x", lambda x: x < F.col("_p")))).drop("_x")
+    sizes = placed.groupBy("_r").agg(F.sum("_c").alias("_s"))
+    before = sizes.select(F.col("_r").alias("_q"), (F.sum("_s").over(W.orderBy("_r")) - F.col("_s")).alias("_b"))  # at most RANGES rows
+    run = F.sum("_c").over(W.partitionBy("_r").orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    ranked = placed.withColumn("_k", run).join(F.broadcast(before), F.col("_r") == F.col("_q")).withColumn("_k", F.col("_k") + F.col("_b"))
+    n = tests.agg(F.count("*")).scalar()
+    bound = ranked.where(F.col("_p") <= q * F.col("_k") / n).agg(F.max("_p")).scalar()
+    return tests.withColumn("passed", F.coalesce(F.col(p) <= bound, F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function of session and folder) and SQL (name -> text).
-MODULES = ("problems", "scalars", "indicators", "sequences", "relational", "research", "stores", "forecasts")
+MODULES = ("problems", "scalars", "indicators", "sequences", "relational", "research", "stores", "forecasts", "rotations")
 
 
 def _parts() -> list:

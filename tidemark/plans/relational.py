@@ -410,7 +410,7 @@ QUERIES["sim_5_6_sig_6_own_matches"] = sim_5_6_sig_6_own_matches
 
 
 @query(f"{BOUND}, {RET} SELECT code, date, round(least(abs(ln((1 + x) / 1.05)), 2.5) * 0.6 + least(0.3 * abs(r * 100), 1.5) + CASE WHEN y IS NULL THEN 0.3 ELSE least(0.25 * abs(y * 100), 1.2) END + 1e-9, 5) AS pen FROM r WHERE x IS NOT NULL")
-def sim_2_3_penalties(spark, d):
+def sim_3_penalties(spark, d):
     r = returns(spark, d).where("x is not null")
     p = F.least(F.abs(F.ln((1 + F.col("x")) / 1.05)), F.lit(2.5)) * 0.6 + F.least(0.3 * F.abs(F.col("r") * 100), F.lit(1.5)) + F.when(F.col("y").isNull(), 0.3).otherwise(F.least(0.25 * F.abs(F.col("y") * 100), F.lit(1.2)))
     return r.select("code", "date", F.round(p + 1e-9, 5).alias("pen"))
@@ -431,7 +431,7 @@ q AS (SELECT code, """ + ", ".join(f"min(v) FILTER (WHERE run >= {p} * al - 1e-9
 
 
 @query(_FUSE + " SELECT code, " + ", ".join(f"round(p50 + 1.3 * (p{p} - p50), 6) AS p{p}" for p in (10, 25, 50, 75, 90)) + ", round(up, 6) AS up FROM q")
-def sim_9_10_11_fused_forecast(spark, d):
+def sim_9_fused_quantiles(spark, d):
     """Weighted quantiles of what followed similar days, stretched by 1.3 about the median; weight of a rise."""
     age = F.datediff(F.lit("2001-12-31").cast("date"), "date")
     w = F.round(F.when(age <= 90, 1.0).otherwise(F.greatest(F.lit(0.3), 1 - (age - 90) / 365 * 0.5)), 6)
@@ -451,7 +451,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dist, peer, date)
 
 
 @query(_POOL + " SELECT code, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(sum(wt * nxt) / sum(wt) + 1e-12, 6) END AS mean_next, round(sum(wt) FILTER (WHERE nxt > 0) / sum(wt), 6) AS p_up, round(exp(-least(median(dist), 6) / 1.25) * (0.65 + 0.35 * least(1, sqrt(count(*) / 6))), 6) AS weight, CASE WHEN count(*) >= 8 THEN 'high' WHEN count(*) >= 4 THEN 'mid' ELSE 'low' END AS confidence FROM g GROUP BY code")
-def sim_4_7_8_12_16_jn_10_pool_match(spark, d):
+def sim_4_jn_10_pool_match(spark, d):
     """What followed the ten windows of a code's peers most like its last one: peers' outcomes known by then only,
     weighed by age; the level's weight by its median distance, and how sure it is by the number of samples."""
     w = I.seq()

@@ -158,7 +158,7 @@ def _grid():
 
 
 @query()
-def bt_16_17_18_21_rotation_grid(spark, d):
+def bt_10_blend_grid(spark, d):
     """A grid of rotations folded in parallel, one task for each setting."""
     from tidemark.plans.indicators import ind_28_29_30_gates
 
@@ -170,7 +170,7 @@ def bt_16_17_18_21_rotation_grid(spark, d):
 
 
 @query()
-def bt_14_24_25_model_portfolio(spark, d):
+def bt_24_model_portfolio(spark, d):
     """A rotation by the forecasts of the walk-forward models: entry needs a rise more likely than not."""
     f = L.walk_forward(_panel(spark, d), XS, "y").select("code", "date", "pred", "p_up")
     b = bars_bounded(spark, d).select("code", "date", "close").withColumn("r", I.change(F.col("close"), 1, I.seq()))
@@ -197,13 +197,6 @@ def bt_15_core_and_lottery(spark, d):
     return m.select("tier", *[F.round(c, 6).alias(c) for c in ("total", "ann", "mdd", "sharpe")], "days")
 
 
-@query(f"{BOUND}, s AS (SELECT code, date, close, lag(close) OVER (PARTITION BY code ORDER BY date) AS p FROM bars) SELECT code, count(*) AS days, round(arg_max(close, date) / coalesce(arg_min(p, date), arg_min(close, date)) - 1, 6) AS ret FROM s WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY code")
-def bt_22_23_segment(spark, d):
-    """A stretch of a continuous curve, its base the value before the stretch."""
-    s = bars_bounded(spark, d).select("code", "date", "close", F.lag("close").over(I.seq()).alias("p")).where("date between date'1998-01-01' and date'1998-12-31'")
-    return s.groupBy("code").agg(F.count("*").alias("days"), F.round(F.max_by("close", "date") / F.coalesce(F.min_by("p", "date"), F.min_by("close", "date")) - 1, 6).alias("ret"))
-
-
 # ---- factor research -------------------------------------------------------------------------------------------
 
 XS = ["f_ret5", "f_ret20", "f_vola", "f_bias", "f_volchg", "f_gap"]
@@ -265,7 +258,7 @@ def ml_3_sufficient_statistics(spark, d):
 
 
 @query()
-def ml_2_4_all_subsets(spark, d):
+def ml_4_all_subsets(spark, d):
     """All 2^21 subsets of the atomic factors, those of no factor left out."""
     m = L.all_subsets(spark, _atomic_stats(spark, d), len(A.NAMES))
     return m.select("mask", "size", *[F.round(c, 6).alias(c) for c in ("train_ic", "train_ir", "val_ic", "val_ir")])
@@ -355,14 +348,14 @@ def ml_1_walk_forward(spark, d):
 
 @query()
 def ml_1_boosted(spark, d):
-    b = L.boosted(_panel(spark, d), XS[:4], "y", "2000-01-01", trees=5)
+    b = L.boosted(_panel(spark, d), XS, "y", "2000-01-01", trees=5)
     return b.groupBy("code").agg(F.count("*").alias("n"), F.round(corr("pred", "y"), 6).alias("ic"))
 
 
 @query()
 def ml_11_15_candidates(spark, d):
     """Every subset by train and validation IC, ranked by a weighted score."""
-    m = cut(ml_2_4_all_subsets(spark, d), "subsets")
+    m = cut(ml_4_all_subsets(spark, d), "subsets")
     r = lambda c: F.percent_rank().over(W.orderBy(F.col(c), "mask"))  # noqa: E731  one row a candidate, 2^21 - 1 whatever the data
     return m.withColumn("total", F.round(0.25 * r("train_ic") + 0.15 * r("train_ir") + 0.35 * r("val_ic") + 0.25 * r("val_ir"), 6)).select("mask", "total")
 
@@ -492,7 +485,7 @@ def src_19_20_24_quotes(spark, d):
 
 
 @query(f"{BOUND}, {INSTRUMENTS_SQL}, l AS (SELECT code, arg_max(r, date) AS r FROM (SELECT code, date, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM bars) WHERE r IS NOT NULL GROUP BY code), m AS (SELECT industry, round(avg(r), 6) AS m FROM l JOIN inst USING (code) GROUP BY industry) SELECT * FROM (SELECT industry, m, 'top' AS side FROM m ORDER BY m DESC, industry LIMIT 3) UNION ALL SELECT * FROM (SELECT industry, m, 'bottom' FROM m ORDER BY m, industry LIMIT 3)")
-def src_16_22_23_leaderboard(spark, d):
+def src_22_leaderboard(spark, d):
     r = bars_bounded(spark, d).select("code", "date", I.change(F.col("close"), 1, I.seq()).alias("r")).where("r is not null").groupBy("code").agg(F.max_by("r", "date").alias("r"))
     m = r.join(instruments(spark, d).select("code", "industry"), "code").groupBy("industry").agg(F.round(F.avg("r"), 6).alias("m"))
     return m.orderBy(F.desc("m"), "industry").limit(3).withColumn("side", F.lit("top")).union(m.orderBy("m", "industry").limit(3).withColumn("side", F.lit("bottom")))
@@ -515,7 +508,7 @@ def src_29_30_31_panel(spark, d):
 
 
 @query(f"{BOUND} SELECT code, date, close FROM (SELECT code, date, close, count(*) OVER (PARTITION BY code) AS n, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS rn FROM bars) WHERE n >= 200 AND rn <= 100")
-def src_13_32_trimmed(spark, d):
+def src_32_trimmed(spark, d):
     w = W.partitionBy("code")
     b = bars_bounded(spark, d).select("code", "date", "close", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(F.desc("date"))).alias("rn"))
     return b.where("n >= 200 and rn <= 100").select("code", "date", "close")
